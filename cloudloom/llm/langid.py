@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -190,12 +191,15 @@ def train(labelled: Sequence[tuple[str, str]], dim: int = 1 << 15, bits: int = 3
     keep, model = seen, None
     for _ in range(rounds + 1):
         counts = np.zeros((len(langs), dim))
+        of_lang = {lang: Counter() for lang in langs}
         for lang, ws in keep:
-            for w in ws:
+            of_lang[lang].update(ws)
+        for lang, seen_words in of_lang.items():
+            for w, n in seen_words.items():
                 f = memo.get(w)
                 if f is None:
                     f = memo[w] = word_features(w, dim)
-                np.add.at(counts[at[lang]], f, 1.0 / len(f))
+                np.add.at(counts[at[lang]], f, n / len(f))
         model = EcocModel.fit(counts, langs, bits)
         keep = [(lang, ws) for lang, ws in seen if model.decode(ws)[0] == lang] or seen
     model.calibrate(keep)
