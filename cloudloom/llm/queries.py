@@ -6,13 +6,43 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudloom.llm import langid, leakage, mixing
+from cloudloom.llm import clusters, langid, leakage, mixing
 from cloudloom.plans.session import table
 
 #: Where the vocabulary files are.
 TOKENIZERS = os.environ.get("CLOUDLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+#: Step of the quantised coefficients and their number (fixed values of the format), and the distance that makes rows similar.
+Q8_STEP, SH_SIZE, SIMILAR = 0.00731, 45, 32.0
+
+
+def q8_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(id, vec): the q8 coefficients of each residual row, from sh_q8, its parts or the valid splat."""
+    state = table(spark, d, "residual_state").select(
+        F.col("splat_id").alias("id"), F.coalesce(F.col("sh_q8").cast("array<int>"), F.zip_with("approx_q8", "residual", lambda a, b: a.cast("int") + b.cast("int"))).alias("vec")
+    )
+    bare = state.where(F.col("vec").isNull()).select("id").distinct()
+    splats = table(spark, d, "splats").select(F.col("splat_id").alias("id"), "sh_rest", "loaded_at").join(bare, "id", "left_semi")
+    valid = splats.groupBy("id").agg(F.max_by("sh_rest", "loaded_at").alias("sh"))
+    back = valid.select("id", F.transform("sh", lambda x: F.rint(x.cast("double") / Q8_STEP).cast("int")).alias("vec"))
+    return state.where(F.col("vec").isNotNull()).unionByName(back.where(F.col("vec").isNotNull()))
+
+
+def _p5(spark: SparkSession, d: str):
+    rows = q8_rows(spark, d)
+    return clusters.clusters(rows, SH_SIZE, SIMILAR), rows
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d)[0].select(F.col("cluster").alias("cluster_key"), F.col("id").alias("splat_id"))
+
+
+def p5_typical(spark: SparkSession, d: str) -> DataFrame:
+    members, rows = _p5(spark, d)
+    return clusters.describe(members, rows, SH_SIZE).select(F.col("cluster").alias("cluster_key"), F.col("size"), F.col("rank"), F.col("id").alias("splat_id"), "to_centre")
+
+
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -40,7 +70,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.flagged(p8_segments(spark, d))
 
 
-QUERIES = {"p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p5_found": p5_found, "p5_typical": p5_typical, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 _RUNS = r"""WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM eval_items),
 ir AS (SELECT item_id, array_to_string(list_slice(w, i, i+11), ' ') r FROM iw, unnest(range(1, len(w)-10)) t(i)),
@@ -48,4 +78,9 @@ own AS (SELECT r, min(item_id) item_id FROM ir GROUP BY r HAVING count(DISTINCT
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents),
 dr AS (SELECT doc_id, array_to_string(list_slice(w, i, i+11), ' ') r FROM dw, unnest(range(1, len(w)-10)) t(i))
 """
-ORACLE = {"p6_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN own USING (r)"}
+_Q8 = """WITH v AS (SELECT splat_id, sh_rest FROM (SELECT *, row_number() OVER (PARTITION BY splat_id ORDER BY loaded_at DESC) rn FROM splats) WHERE rn = 1),
+q AS (SELECT DISTINCT splat_id, coalesce(list_transform(r.sh_q8, lambda x: x::INT), CASE WHEN r.approx_q8 IS NOT NULL AND r.residual IS NOT NULL THEN list_transform(range(1, len(r.approx_q8)+1), lambda i: r.approx_q8[i]::INT + r.residual[i]::INT) END, list_transform(v.sh_rest, lambda x: round_even(x::DOUBLE / 0.00731, 0)::INT)) c
+FROM residual_state r LEFT JOIN v USING (splat_id)),
+f AS (SELECT splat_id, c::FLOAT[45] c FROM q WHERE c IS NOT NULL)
+"""
+ORACLE = {"p5_found": _Q8 + "SELECT min(b.splat_id) AS cluster_key, a.splat_id FROM f a JOIN f b ON array_distance(a.c, b.c) <= 32 GROUP BY a.splat_id HAVING count(DISTINCT b.splat_id) > 1", "p6_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN own USING (r)"}
