@@ -20,12 +20,12 @@ Q8_STEP, SH_SIZE, SIMILAR = 0.00731, 45, 32.0
 def q8_rows(spark: SparkSession, d: str) -> DataFrame:
     """(id, vec): the q8 coefficients of each residual row, from sh_q8, its parts or the valid splat."""
     state = table(spark, d, "residual_state").select(
-        F.col("splat_id").alias("id"), F.coalesce(F.col("sh_q8").cast("array<int>"), F.zip_with("approx_q8", "residual", lambda a, b: a.cast("int") + b.cast("int"))).alias("vec")
+        F.col("splat_id").alias("id"), F.coalesce(F.col("sh_q8").cast("array<smallint>"), F.zip_with("approx_q8", "residual", lambda a, b: (a + b).cast("smallint"))).alias("vec")
     )
     bare = state.where(F.col("vec").isNull()).select("id").distinct()
     splats = table(spark, d, "splats").select(F.col("splat_id").alias("id"), "sh_rest", "loaded_at").join(bare, "id", "left_semi")
     valid = splats.groupBy("id").agg(F.max_by("sh_rest", "loaded_at").alias("sh"))
-    back = valid.select("id", F.transform("sh", lambda x: F.rint(x.cast("double") / Q8_STEP).cast("int")).alias("vec"))
+    back = valid.select("id", F.transform("sh", lambda x: F.rint(x.cast("double") / Q8_STEP).cast("smallint")).alias("vec"))
     return state.where(F.col("vec").isNotNull()).unionByName(back.where(F.col("vec").isNotNull()))
 
 
