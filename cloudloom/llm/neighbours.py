@@ -44,50 +44,206 @@ def offsets(tables: int, count: int) -> np.ndarray:
 
 
 def _top(d2: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise k least (distance, id) of (n, m); missing entries have infinite distance."""
+    """Row-wise k least (distance, id) of (n, m), m >= k; ids must ascend along each row."""
     if d2.shape[1] > 4 * k + 16:
         kth = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-        few = int((d2 <= kth).sum(1).max(initial=k))
-        part = np.argpartition(d2, min(few, d2.shape[1]) - 1, axis=1)[:, :few]
+        few = int((d2 <= kth).sum(1).max(initial=k))  # ties of the k-th distance stay
+        part = np.sort(np.argpartition(d2, min(few, d2.shape[1]) - 1, axis=1)[:, :few], axis=1)
         d2, ids = np.take_along_axis(d2, part, 1), np.take_along_axis(ids, part, 1)
-    order = np.lexsort((ids, d2), axis=1)[:, :k]
+    order = np.argsort(d2, axis=1, kind="stable")[:, :k]
     return np.take_along_axis(d2, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _search(dim: int, chunk: int = 1 << 21):
-    """Per bucket: queries (q, x, k, own) against the bucket's places (id, x)."""
-    schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("d2", pa.float64())])
+def _matrix(c, dim: int) -> np.ndarray:
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-    def matrix(c) -> np.ndarray:
-        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-        return c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-    def run(key, queries: pa.Table, places: pa.Table) -> pa.Table:
+_FOUND = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("d2", pa.float64())])
+_FOUND_SQL = "q bigint, id bigint, d2 double"
+
+
+def _search(dim: int, cells: int = 1 << 20):
+    """Queries (q, x, k, limit2) of one bucket against its vectors (id, x): (q, id, d2) of the k nearest within limit2."""
+
+    def run(queries: pa.Table, places: pa.Table) -> pa.Table:
         if not queries.num_rows or not places.num_rows:
-            return schema.empty_table()
-        q, ids = queries.column("q").to_numpy(), places.column("id").to_numpy()
-        x, y, ks = matrix(queries.column("x")), matrix(places.column("x")), queries.column("k").to_numpy()
-        limit = queries.column("limit2").to_numpy()
-        step = max(1, chunk // len(ids))
-        out_q, out_i, out_d = [], [], []
+            return _FOUND.empty_table()
+        places = places.sort_by("to_id")
+        q, ids = queries.column("q").to_numpy(), places.column("to_id").to_numpy()
+        x, y = _matrix(queries.column("x"), dim), _matrix(places.column("to_x"), dim)
+        ks, limit = queries.column("k").to_numpy(), queries.column("limit2").to_numpy()
+        step, out = max(1, cells // len(ids)), []
         for s in range(0, len(q), step):
-            d2 = np.zeros((min(step, len(q) - s), len(ids)))
+            e = min(s + step, len(q))
+            d2 = np.zeros((e - s, len(ids)))
             for j in range(dim):
-                d2 += np.square(x[s : s + step, j : j + 1] - y[None, :, j])
-            d2[q[s : s + step, None] == ids[None]] = np.inf
-            k = int(ks[s : s + step].max())
-            dk, ik = _top(d2, np.broadcast_to(ids, d2.shape), min(k, d2.shape[1]))
-            good = np.isfinite(dk) & (np.arange(dk.shape[1])[None] < ks[s : s + step, None]) & (dk <= limit[s : s + step, None])
-            row = np.nonzero(good)[0]
-            out_q.append(q[s : s + step][row])
-            out_i.append(ik[good])
-            out_d.append(dk[good])
-        return pa.Table.from_arrays([pa.array(np.concatenate(a)) for a in (out_q, out_i, out_d)], schema=schema)
+                d2 += np.square(x[s:e, j, None] - y[None, :, j])
+            d2[q[s:e, None] == ids[None]] = np.inf
+            k = min(int(ks[s:e].max()), len(ids))
+            dk, ik = _top(d2, np.broadcast_to(ids, d2.shape), k)
+            good = np.isfinite(dk) & (np.arange(k)[None] < ks[s:e, None]) & (dk <= limit[s:e, None])
+            out.append((q[s:e][np.nonzero(good)[0]], ik[good], dk[good]))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_FOUND)
 
     return run
 
 
-def _merge(found: DataFrame, ks: DataFrame) -> DataFrame:
-    """(q, cand ARRAY<STRUCT<d2,id>>, full): the k best distinct candidates of each query."""
-    best = found.groupBy("q").agg(F.array_sort(F.collect_set(F.struct("d2", "id"))).alias("cand"))
-    return ks.join(best, "q", "left")
+def _projections(x: str, dirs: np.ndarray) -> Column:
+    return F.array(*[sum((F.col(x)[j] * float(a[j]) for j in range(1, len(a))), F.col(x)[0] * float(a[0])) for a in dirs])
+
+
+def nearest(
+    vectors: DataFrame,
+    dim: int,
+    k_default: int | None = None,
+    queries: Column | None = None,
+    tables: int = 2,
+    projections: int = 3,
+    cap: int = 1024,
+    most_probes: int = 343,
+) -> DataFrame:
+    """(g, q, id, d2): the k nearest vectors of the same group of each query, by (distance, id).
+
+    ``vectors``: (g, id BIGINT, x ARRAY<DOUBLE>, and k unless ``k_default`` is given);
+    ids are unique. ``queries`` is a condition that selects the queries; all rows by
+    default. A group with fewer than k others gives all of them. Vectors that are null,
+    of another length or not finite are left out, as are null groups and ids. An empty
+    table gives an empty result. Squared distances are doubles, ties go to the smaller id.
+    """
+    x = F.col("x")
+    fine = F.col("g").isNotNull() & F.col("id").isNotNull() & (F.size(x) == dim) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    k = F.lit(k_default) if k_default is not None else F.col("k")
+    rows = vectors.select("g", F.col("id").cast("bigint").alias("id"), x.cast("array<double>").alias("x"), k.cast("int").alias("k"), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("asks")).where(fine)
+    rows = cut(rows)
+
+    # Equal vectors: a place holds its k + 1 smallest ids; more of them can't be anyone's neighbour
+    # but each other's. The filter on row_number is a group limit, applied before the shuffle.
+    spot = W.partitionBy("g", "x").orderBy("id")
+    held = rows.withColumn("n", F.row_number().over(spot)).where(F.col("n") <= F.col("k") + 1)
+    crowded = held.where(F.col("n") == F.col("k") + 1).select("g", "x", "k").distinct()
+    members = held.join(crowded.select("g", "x"), ["g", "x"], "left_semi").select("g", "x", F.col("id").alias("m"), "n")
+    rest = rows.where("asks").join(crowded.select("g", "x"), ["g", "x"], "left_semi").select("g", "x", F.col("id").alias("q"), "k")
+    in_spot = rest.join(members.groupBy("g", "x").agg(F.array_sort(F.collect_list("m")).alias("m")), ["g", "x"])
+    same_spot = in_spot.select("g", "q", F.explode(F.slice(F.filter("m", lambda v: v != F.col("q")), F.lit(1), F.col("k"))).alias("id"), F.lit(0.0).alias("d2"))
+    asking = rows.where("asks").join(crowded.select("g", "x"), ["g", "x"], "left_anti").select("g", F.col("id").alias("q"), "x", "k")
+    places = held.select("g", "id", "x")
+
+    dirs, offs = directions(dim, projections, tables), offsets(tables, projections)
+    layouts, found = [], None
+    for t in range(tables):
+        lay = _Layout(places, dirs[t], offs[t], cap)
+        layouts.append(lay)
+        own = lay.home(asking)
+        first = lay.search(own.withColumn("limit2", F.lit(float("inf"))), dim)
+        found = first if found is None else found.unionByName(first)
+    found = cut(found)
+    state = asking.join(_best(found), "q", "left")
+    state = state.withColumn("best", F.coalesce(F.slice("cand", F.lit(1), F.col("k")), F.array().cast("array<struct<d2:double,id:bigint>>")))
+    reach2 = F.when(F.size("best") >= F.col("k"), F.element_at("best", -1)["d2"]).otherwise(F.lit(float("inf")))
+    state = state.select("g", "q", "x", "k", reach2.alias("limit2"))
+    more = layouts[0].probe(state, dim, most_probes)
+    all_found = found.unionByName(more)
+    best = asking.select("g", "q", "k").join(_best(all_found), "q").select("g", "q", F.explode(F.slice("cand", F.lit(1), F.col("k"))).alias("c"))
+    return best.select("g", "q", "c.id", "c.d2").unionByName(same_spot.select("g", "q", "id", "d2"))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """Merged candidates of all tables and probes, distinct, best first."""
+    return found.groupBy("q").agg(F.array_sort(F.collect_set(F.struct("d2", "id"))).alias("cand"))
+
+
+class _Layout:
+    """One hash table: where each place is, with hot buckets hashed finer."""
+
+    def __init__(self, places: DataFrame, dirs: np.ndarray, off: np.ndarray, cap: int):
+        self.dirs, self.off, self.m = dirs, off, len(dirs)
+        p = places.withColumn("p", _projections("x", dirs))
+        span = [F.max(F.col("p")[i]) - F.min(F.col("p")[i]) for i in range(self.m)]
+        stats = p.groupBy("g").agg(F.count("*").alias("n"), F.greatest(*span).alias("span"), *[F.min(F.col("p")[i]).alias(f"base{i}") for i in range(self.m)])
+        # splats lie near surfaces: buckets of about cap / 4 if two dimensions are filled evenly
+        parts = F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("n") * 4.0 / cap)))
+        self.stats = stats.select("g", F.array(*[f"base{i}" for i in range(self.m)]).alias("base"), F.when(F.col("span") > 0, F.col("span") / parts * (1 + 1e-9)).otherwise(F.lit(1.0)).alias("w"))
+        hashed = self._hash(p, "w").withColumnRenamed("h", "h0")
+        sizes = hashed.groupBy("g", "h0").agg(F.count("*").alias("n"))
+        depth = F.when(F.col("n") > cap, F.ceil(F.log2(F.col("n") / cap) / 2) + 1).otherwise(F.lit(0)).cast("int")
+        self.blocks = cut(sizes.select("g", "h0", depth.alias("depth")))
+        placed = hashed.join(self.blocks, ["g", "h0"])
+        self.places = placed.select("g", "h0", self._sub().alias("h1"), "id", "x")
+
+    def _hash(self, df: DataFrame, width: str) -> DataFrame:
+        """Adds h, the array of the h_i, and keeps base and w of the group."""
+        d = df.join(self.stats, "g")
+        h = F.array(*[F.floor((F.col("p")[i] - F.col("base")[i]) / F.col(width) + float(self.off[i])).cast("bigint") for i in range(self.m)])
+        return d.withColumn("h", h)
+
+    def _sub(self) -> Column:
+        """The finer h_i within a hot bucket; zeros where it is not hot."""
+        fine = F.pow(F.lit(2.0), F.col("depth"))
+        return F.array(*[F.floor(((F.col("p")[i] - F.col("base")[i]) / F.col("w") + float(self.off[i]) - F.col("h0")[i]) * fine).cast("bigint") for i in range(self.m)])
+
+    def home(self, asking: DataFrame) -> DataFrame:
+        d = self._hash(asking.withColumn("p", _projections("x", self.dirs)), "w").withColumnRenamed("h", "h0").join(self.blocks, ["g", "h0"])
+        return d.select("g", "h0", self._sub().alias("h1"), "q", "x", "k")
+
+    def search(self, at: DataFrame, dim: int) -> DataFrame:
+        key = ["g", "h0", "h1"]
+        there = self.places.select(*[F.col(c).alias(f"to_{c}") for c in (*key, "id", "x")])  # own names: both sides may come from one table
+        return at.select(*key, "q", "x", "k", "limit2").groupBy(*key).cogroup(there.groupBy(*[f"to_{c}" for c in key])).applyInArrow(_search(dim), _FOUND_SQL)
+
+    def probe(self, state: DataFrame, dim: int, most: int) -> DataFrame:
+        """Candidates from every other bucket that may hold something nearer than limit2.
+
+        Perturbed buckets within reach are listed nearest first; a query with more than
+        ``most`` of them looks through the buckets of its group instead.
+        """
+        d = self._hash(state.withColumn("p", _projections("x", self.dirs)), "w")
+        r = F.sqrt("limit2") * (1 + 1e-9) + 1e-12
+        at = [(F.col("p")[i] - F.col("base")[i]) / F.col("w") + float(self.off[i]) for i in range(self.m)]
+        d = d.withColumn("u", F.array(*at)).withColumn("ru", r / F.col("w"))
+        lo = [F.floor(F.col("u")[i] - F.col("ru")) for i in range(self.m)]
+        hi = [F.floor(F.col("u")[i] + F.col("ru")) for i in range(self.m)]
+        count = F.lit(1.0)
+        for i in range(self.m):
+            count = count * (hi[i] - lo[i] + 1).cast("double")
+        d = d.withColumn("count", F.when(F.col("limit2") == float("inf"), F.lit(float("inf"))).otherwise(count))
+
+        def gap(u: Column, ru: Column, h: Column, size: Column) -> Column:
+            """Whether bucket [h, h + size) is within ru of u along every projection."""
+            ok = F.lit(True)
+            for i in range(self.m):
+                ok &= (h[i] <= u[i] + ru) & (h[i] + size >= u[i] - ru)
+            return ok
+
+        keep = ["g", "q", "x", "k", "limit2", "u", "ru"]
+        near = d.where(F.col("count") <= most)
+        for i in range(self.m):
+            near = near.withColumn(f"c{i}", F.explode(F.sequence(F.floor(F.col("u")[i] - F.col("ru")).cast("bigint"), F.floor(F.col("u")[i] + F.col("ru")).cast("bigint"))))
+        near = near.withColumn("h0", F.array(*[f"c{i}" for i in range(self.m)])).join(self.blocks, ["g", "h0"]).select(*keep, "h", "h0", "depth")
+        # far queries: every bucket of the group whose distance can matter (bucket table, not rows)
+        far = d.where(F.col("count") > most).select(*keep, "h").join(self.blocks, "g").where(gap(F.col("u"), F.col("ru"), F.col("h0"), F.lit(1)))
+        hit = near.unionByName(far.select(*near.columns))
+        cold = hit.where("depth = 0").withColumn("h1", F.array(*[F.lit(0).cast("bigint")] * self.m))
+        hot = hit.where("depth > 0").withColumn("fine", F.pow(F.lit(2.0), F.col("depth")))
+        for i in range(self.m):
+            a = F.greatest(F.lit(0), F.floor((F.col("u")[i] - F.col("ru") - F.col("h0")[i]) * F.col("fine"))).cast("bigint")
+            b = F.least(F.col("fine") - 1, F.floor((F.col("u")[i] + F.col("ru") - F.col("h0")[i]) * F.col("fine"))).cast("bigint")
+            hot = hot.withColumn("a", a).withColumn("b", b).where("a <= b").withColumn(f"s{i}", F.explode(F.sequence("a", "b")))
+        hot = hot.withColumn("h1", F.array(*[f"s{i}" for i in range(self.m)]))
+        own = F.array(*[F.floor((F.col("u")[i] - F.col("h0")[i]) * F.pow(F.lit(2.0), F.col("depth"))).cast("bigint") for i in range(self.m)])
+        to = cold.select("g", "h", "h0", "h1", "depth", "u", "ru", "q", "x", "k", "limit2").unionByName(hot.select("g", "h", "h0", "h1", "depth", "u", "ru", "q", "x", "k", "limit2"))
+        to = to.where(~((F.col("h") == F.col("h0")) & (F.col("h1") == own)))
+        # order of estimated success: squared distance to the bucket along the projections; beyond limit2 it can't succeed
+        size = F.pow(F.lit(2.0), -F.col("depth"))
+        score = F.lit(0.0)
+        for i in range(self.m):
+            low = F.col("h0")[i] + F.col("h1")[i] * size
+            out = F.greatest(F.lit(0.0), low - F.col("u")[i], F.col("u")[i] - low - size)
+            score = score + out * out
+        to = to.withColumn("score", score).where(F.col("score") <= F.col("ru") * F.col("ru") * (1 + 1e-9))
+        return self.search(to, dim)
+
+
+def pairs(found: DataFrame) -> DataFrame:
+    """(lo, hi): distinct pairs of which at least one is among the nearest of the other."""
+    return found.select(F.least("q", "id").alias("lo"), F.greatest("q", "id").alias("hi")).distinct()

@@ -6,13 +6,35 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cloudloom.llm import clusters, langid, leakage, mixing
+from cloudloom.llm import clusters, langid, leakage, mixing, neighbours
 from cloudloom.plans.session import table
 
 #: Where the vocabulary files are.
 TOKENIZERS = os.environ.get("CLOUDLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+#: Neighbours where the timeline header names none (fixed value of the format).
+K_NEIGHBORS = 4
+
+
+def splat_points(spark: SparkSession, d: str) -> DataFrame:
+    """(g, id, x, k) of the valid splats with their scene's number of neighbours."""
+    s = table(spark, d, "splats").groupBy("splat_id").agg(F.max(F.struct("loaded_at", "scene_id", "x", "y", "z")).alias("v"))
+    s = s.select(F.col("v.scene_id").alias("g"), F.col("splat_id").alias("id"), F.array(*[F.col(f"v.{c}").cast("double") for c in "xyz"]).alias("x"))
+    k = table(spark, d, "phox_seq").groupBy(F.col("scene_id").alias("g")).agg(F.max("k_neighbors").alias("k"))
+    return s.join(k, "g", "left").withColumn("k", F.coalesce("k", F.lit(K_NEIGHBORS)))
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    found = neighbours.nearest(splat_points(spark, d), 3)
+    return found.select(F.col("g").alias("scene_id"), F.col("q").alias("splat_id"), F.col("id").alias("neighbor_id"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    p = neighbours.pairs(neighbours.nearest(splat_points(spark, d), 3))
+    return p.select(F.col("lo").alias("splat_lo"), F.col("hi").alias("splat_hi"))
+
+
 #: Step of the quantised coefficients and their number (fixed values of the format), and the distance that makes rows similar.
 Q8_STEP, SH_SIZE, SIMILAR = 0.00731, 45, 32.0
 
@@ -70,7 +92,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.flagged(p8_segments(spark, d))
 
 
-QUERIES = {"p5_found": p5_found, "p5_typical": p5_typical, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p2_found": p2_found, "p2_nearest": p2_nearest, "p5_found": p5_found, "p5_typical": p5_typical, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 _RUNS = r"""WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM eval_items),
 ir AS (SELECT item_id, array_to_string(list_slice(w, i, i+11), ' ') r FROM iw, unnest(range(1, len(w)-10)) t(i)),
@@ -83,4 +105,9 @@ q AS (SELECT DISTINCT splat_id, coalesce(list_transform(r.sh_q8, lambda x: x::IN
 FROM residual_state r LEFT JOIN v USING (splat_id)),
 f AS (SELECT splat_id, c::FLOAT[45] c FROM q WHERE c IS NOT NULL)
 """
-ORACLE = {"p5_found": _Q8 + "SELECT min(b.splat_id) AS cluster_key, a.splat_id FROM f a JOIN f b ON array_distance(a.c, b.c) <= 32 GROUP BY a.splat_id HAVING count(DISTINCT b.splat_id) > 1", "p6_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN own USING (r)"}
+_KNN = """WITH v AS (SELECT splat_id, scene_id, x::DOUBLE x, y::DOUBLE y, z::DOUBLE z FROM (SELECT *, row_number() OVER (PARTITION BY splat_id ORDER BY loaded_at DESC) rn FROM splats) WHERE rn = 1 AND isfinite(x) AND isfinite(y) AND isfinite(z)),
+p AS (SELECT a.scene_id, a.splat_id q, b.splat_id id, row_number() OVER (PARTITION BY a.splat_id ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.splat_id) rn, coalesce(s.k_neighbors, 4) k
+FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.splat_id <> b.splat_id LEFT JOIN phox_seq s ON s.scene_id = a.scene_id),
+n AS (SELECT scene_id, q, id FROM p WHERE rn <= k)
+"""
+ORACLE = {"p2_found": _KNN + "SELECT DISTINCT least(q, id) AS splat_lo, greatest(q, id) AS splat_hi FROM n", "p2_nearest": _KNN + "SELECT scene_id, q AS splat_id, id AS neighbor_id FROM n", "p5_found": _Q8 + "SELECT min(b.splat_id) AS cluster_key, a.splat_id FROM f a JOIN f b ON array_distance(a.c, b.c) <= 32 GROUP BY a.splat_id HAVING count(DISTINCT b.splat_id) > 1", "p6_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN own USING (r)"}
