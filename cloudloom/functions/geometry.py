@@ -101,24 +101,27 @@ class Camera:
         depth = -c[2]
         return self.focal * c[0] / depth + self.size / 2, -self.focal * c[1] / depth + self.size / 2, depth
 
-    def screen_covariance(self, c: Vec, cov: dict[str, Column], dilate: float = 0.1) -> tuple[Column, Column, Column]:
-        """(a, b, c) of J W S W^T J^T + dilate I for camera coordinates and a world covariance."""
+    def view_covariance(self, cov: dict[str, Column]) -> dict[str, Column]:
+        """W S W^T of a world covariance, by its six entries 00, 01, 02, 11, 12, 22."""
         s = [[cov["xx"], cov["xy"], cov["xz"]], [cov["xy"], cov["yy"], cov["yz"]], [cov["xz"], cov["yz"], cov["zz"]]]
-        w = self.axes
-        half = [[sum((s[i][j] * w[k][j] for j in (1, 2)), s[i][0] * w[k][0]) for k in range(3)] for i in range(3)]
-        m = [[sum((half[i][b] * w[a][i] for i in (1, 2)), half[0][b] * w[a][0]) for b in range(3)] for a in range(3)]
+        w, out = self.axes, {}
+        for a in range(3):
+            for b in range(a, 3):
+                terms = [w[a][i] * w[b][j] * s[i][j] for i in range(3) for j in range(3)]
+                out[f"{a}{b}"] = sum(terms[1:], terms[0])
+        return out
+
+    def screen_covariance(self, c: Vec, m: dict[str, Column], dilate: float = 0.1) -> tuple[Column, Column, Column]:
+        """(a, b, c) of J M J^T + dilate I for camera coordinates and a view covariance.
+
+        Give named columns, not expressions: each is used several times.
+        """
         x, y, z = c
         f = self.focal
-        j = [[-f / z, F.lit(0.0), f * x / (z * z)], [F.lit(0.0), f / z, -f * y / (z * z)]]
-
-        def form(p: int, q: int) -> Column:
-            out = F.lit(0.0)
-            for a in range(3):
-                for b in range(3):
-                    out = out + j[p][a] * m[a][b] * j[q][b]
-            return out
-
-        return form(0, 0) + dilate, form(0, 1), form(1, 1) + dilate
+        j0, j1, j2, j3 = -f / z, f * x / (z * z), f / z, -f * y / (z * z)
+        a = j0 * j0 * m["00"] + 2 * j0 * j1 * m["02"] + j1 * j1 * m["22"] + dilate
+        b = j0 * j2 * m["01"] + j0 * j3 * m["02"] + j1 * j2 * m["12"] + j1 * j3 * m["22"]
+        return a, b, j2 * j2 * m["11"] + 2 * j2 * j3 * m["12"] + j3 * j3 * m["22"] + dilate
 
 
 def inverse_2x2(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:

@@ -83,12 +83,13 @@ def wide_basis(s: Column, t: Column) -> list[Column]:
 def closest_on_germ(theta: Sequence[Column], sigma: Vec, u: Vec, rounds: int = 3, damping: float = 0.85, lam: float = 100.0) -> tuple[Column, Column]:
     """(s, t) after a fixed number of damped Newton steps on the squared distance to the germ, starting at (u0, u1).
 
-    The minimised sum is (u0-s)^2/s0^2 + (u1-t)^2/s1^2 + (u2-H)^2/s2^2 + lam (s^2+t^2)^2, with the
-    curvature of H left out of its second derivative (Gauss-Newton); a small ridge keeps it solvable.
+    The minimised sum is (u0-s)^2/s0^2 + (u1-t)^2/s1^2 + (u2-H)^2/s2^2 + lam (s^2+t^2)^2;
+    a determinant within 1e-12 of zero counts as 1e-12.
     """
-    s, t = u[0], u[1]
     wa, wb, wn = (1 / (c * c) for c in sigma)
-    for _ in range(rounds):
+
+    def newton(at: Column, _: Column) -> Column:
+        s, t = at["s"], at["t"]
         h, (hs, ht) = germ_value(theta, s, t), germ_gradient(theta, s, t)
         hss, hst, htt = germ_hessian(theta, s, t)
         r, q = u[2] - h, s * s + t * t
@@ -99,8 +100,11 @@ def closest_on_germ(theta: Sequence[Column], sigma: Vec, u: Vec, rounds: int = 3
         c = 2 * wb + 2 * wn * (ht * ht - r * htt) + lam * (4 * q + 8 * t * t)
         det = a * c - b * b
         det = F.when(F.abs(det) < 1e-12, 1e-12).otherwise(det)
-        s, t = s - damping * (c * gs - b * gt) / det, t - damping * (a * gt - b * gs) / det
-    return s, t
+        return F.struct((s - damping * (c * gs - b * gt) / det).alias("s"), (t - damping * (a * gt - b * gs) / det).alias("t"))
+
+    start = F.struct(u[0].cast("double").alias("s"), u[1].cast("double").alias("t"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, newton)
+    return end["s"], end["t"]
 
 
 def gaussian_density(m: Column) -> Column:
