@@ -250,7 +250,7 @@ def composite_pixels(spark: SparkSession, d: str) -> DataFrame:
     return raster.composite(fragments(spark, d)).select("y", "x", *[_r(F.col(c), 4).alias(c) for c in ("r", "g", "b", "alpha")])
 
 
-@query(PROJECTED_SQL + ", v2 AS (SELECT * FROM f WHERE radius <= 4.0 AND px+radius >= 0 AND px-radius < 64 AND py+radius >= 0 AND py-radius < 64), tx AS (SELECT id, py, radius, unnest(range((greatest(0,least(floor(px-radius),63))/16)::DOUBLE.floor()::BIGINT, floor(greatest(0,least(ceil(px+radius),63))/16)::BIGINT+1)) tx FROM v2), ty AS (SELECT tx, unnest(range(floor(greatest(0,least(floor(py-radius),63))/16)::BIGINT, floor(greatest(0,least(ceil(py+radius),63))/16)::BIGINT+1)) ty FROM tx) SELECT tx, ty, count(*) AS n FROM ty GROUP BY ALL")
+@query(PROJECTED_SQL + ", v2 AS (SELECT * FROM f WHERE radius <= 4.0 AND px+radius >= 0 AND px-radius < 64 AND py+radius >= 0 AND py-radius < 64), tx AS (SELECT id, py, radius, unnest(range(floor(greatest(0,least(floor(px-radius),63))/16)::BIGINT, floor(greatest(0,least(ceil(px+radius),63))/16)::BIGINT+1)) tx FROM v2), ty AS (SELECT tx, unnest(range(floor(greatest(0,least(floor(py-radius),63))/16)::BIGINT, floor(greatest(0,least(ceil(py+radius),63))/16)::BIGINT+1)) ty FROM tx) SELECT tx, ty, count(*) AS n FROM ty GROUP BY ALL")
 def tile_bins(spark: SparkSession, d: str) -> DataFrame:
     p = projected(spark, d).where(F.col("radius") <= VIEW.size / 16)
     return raster.tiles(p, VIEW.size).groupBy("tx", "ty").agg(F.count("*").alias("n"))
@@ -262,7 +262,7 @@ def depth_rank(spark: SparkSession, d: str) -> DataFrame:
     return projected(spark, d).select("id", "scene_id", F.row_number().over(w.orderBy("depth", "id")).alias("front"), F.row_number().over(w.orderBy(F.desc("depth"), "id")).alias("back"))
 
 
-@query(_FRAG + ", im AS (SELECT y, x, sum(t*a*r) r, sum(t*a*g) g, sum(t*a*b) b FROM tr WHERE t >= 1e-4 GROUP BY ALL), e AS (SELECT avg((power(r-floor(r*255)/255,2)+power(g-floor(g*255)/255,2)+power(b-floor(b*255)/255,2))/3) mse, avg((abs(r-floor(r*255)/255)+abs(g-floor(g*255)/255)+abs(b-floor(b*255)/255))/3) mae, count(*) pixels FROM im WHERE 0.2126*r+0.7152*g+0.0722*b > 0.02) SELECT round(mse,9) AS mse, round(mae,7) AS mae, round(-10*log10(mse),2) AS psnr, pixels FROM e")
+@query(_FRAG + ", im AS (SELECT y, x, sum(t*a*r) r, sum(t*a*g) g, sum(t*a*b) b FROM tr WHERE t >= 1e-4 GROUP BY ALL), er AS (SELECT avg((power(r-floor(r*255)/255,2)+power(g-floor(g*255)/255,2)+power(b-floor(b*255)/255,2))/3) mse, avg((abs(r-floor(r*255)/255)+abs(g-floor(g*255)/255)+abs(b-floor(b*255)/255))/3) mae, count(*) pixels FROM im WHERE 0.2126*r+0.7152*g+0.0722*b > 0.02) SELECT round(mse,9) AS mse, round(mae,7) AS mae, round(-10*log10(mse),2) AS psnr, pixels FROM er")
 def masked_image_metrics(spark: SparkSession, d: str) -> DataFrame:
     a = raster.composite(fragments(spark, d))
     b = a.select("y", "x", *[(F.floor(F.col(c) * 255) / 255).alias(c) for c in "rgb"])
@@ -353,12 +353,12 @@ def backward_frames(spark: SparkSession, d: str) -> DataFrame:
 _MIRROR = SPLATS_SQL.replace("FROM splats)", "FROM splats_mirror)").replace("v AS (", "v2 AS (", 1).split(",\ns AS")[0]
 
 
-@query(_S + f", {_MIRROR}, o AS (SELECT v.id, v.tier a, v2.tier b, round(v.opacity,4) c, round(v2.opacity,4) e FROM v JOIN v2 USING (id)) SELECT id, 'tier' AS attr, coalesce(b::DOUBLE,-1.0) AS val FROM o WHERE a IS DISTINCT FROM b UNION ALL SELECT id, 'opacity', coalesce(e,-1.0) FROM o WHERE c IS DISTINCT FROM e")
+@query(_S + f", {_MIRROR}, o AS (SELECT v.id, v.tier a, v2.tier b, round(v.x,2) c, round(v2.x,2) e FROM v JOIN v2 USING (id)) SELECT id, 'tier' AS attr, coalesce(b::DOUBLE,-1.0) AS val FROM o WHERE a IS DISTINCT FROM b UNION ALL SELECT id, 'x', coalesce(e,-1.0) FROM o WHERE c IS DISTINCT FROM e")
 def diff_to_patch(spark: SparkSession, d: str) -> DataFrame:
-    old = valid_splats(spark, d).select("id", "tier", _r(F.col("opacity"), 4).alias("opacity"))
-    m = table(spark, d, "splats_mirror").groupBy(F.col("splat_id").alias("id")).agg(F.max_by(F.struct("tier", "opacity"), "loaded_at").alias("v"))
-    new = m.select("id", F.col("v.tier").cast("int").alias("tier"), _r(F.col("v.opacity").cast("double"), 4).alias("opacity"))
-    p = patches.diff_to_patch(old, new, ["id"], ["tier", "opacity"])
+    old = valid_splats(spark, d).select("id", "tier", _r(F.col("x"), 2).alias("x"))
+    m = table(spark, d, "splats_mirror").groupBy(F.col("splat_id").alias("id")).agg(F.max_by(F.struct("tier", "x"), "loaded_at").alias("v"))
+    new = m.select("id", F.col("v.tier").cast("int").alias("tier"), _r(F.col("v.x").cast("double"), 2).alias("x"))
+    p = patches.diff_to_patch(old, new, ["id"], ["tier", "x"])
     return p.select("id", "attr", F.coalesce("val", F.lit(-1.0)).alias("val"))
 
 
