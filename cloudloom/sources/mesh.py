@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, no, line): numbered by one task a file, since meaning depends on what stands before."""
-    t = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    t = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return t.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("no", "line")).select("file", "no", F.trim("line").alias("line"))
 
 
