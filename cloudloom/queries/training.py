@@ -61,7 +61,7 @@ def p4_live_rows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_fingerprints": p3_fingerprints, "p3_unified": p3_unified, "p4_found": p4_found, "p4_live_rows": p4_live_rows}
 
-_FLOAT = "NOT (({a} IS NULL AND {b} IS NULL) OR ({a} IS NOT NULL AND {b} IS NOT NULL AND ((isnan({a}) AND isnan({b})) OR (NOT isnan({a}) AND NOT isnan({b}) AND ({a} = {b} OR (isfinite({a}) AND isfinite({b}) AND abs({a}-{b}) <= 1e-5*greatest(1.0,abs({a}),abs({b}))))))))"
+_FLOAT = "NOT (({a} IS NULL AND {b} IS NULL) OR ({a} IS NOT NULL AND {b} IS NOT NULL AND (({a}::VARCHAR = 'nan' AND {b}::VARCHAR = 'nan') OR ({a}::VARCHAR <> 'nan' AND {b}::VARCHAR <> 'nan' AND ({a} = {b} OR (isfinite({a}) AND isfinite({b}) AND abs({a}-{b}) <= 1e-5*greatest(1.0,abs({a}),abs({b}))))))))"
 
 
 def _p1_sql() -> str:
