@@ -120,7 +120,7 @@ def nearest(
     # Equal vectors: a place holds its k + 1 smallest ids; more of them can't be anyone's neighbour
     # but each other's. The filter on row_number is a group limit, applied before the shuffle.
     spot = W.partitionBy("g", "x").orderBy("id")
-    held = rows.withColumn("n", F.row_number().over(spot)).where(F.col("n") <= F.col("k") + 1)
+    held = cut(rows.withColumn("n", F.row_number().over(spot)).where(F.col("n") <= F.col("k") + 1))
     crowded = held.where(F.col("n") == F.col("k") + 1).select("g", "x", "k").distinct()
     members = held.join(crowded.select("g", "x"), ["g", "x"], "left_semi").select("g", "x", F.col("id").alias("m"), "n")
     rest = rows.where("asks").join(crowded.select("g", "x"), ["g", "x"], "left_semi").select("g", "x", F.col("id").alias("q"), "k")
