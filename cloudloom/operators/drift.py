@@ -19,13 +19,16 @@ from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from cloudloom.plans.durable import cut
 
-#: Values are sketched as a subset of this many hashed tokens, record kinds and the builds of prose of as many again.
-SKETCH = 512
+#: Values are sketched by this many least 64-bit hashes of their tokens (and of the builds of messages); record kinds fall in half as many classes.
+SKETCH = 1024
+KINDS = 512
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_MESSAGE = re.compile(r"[\w.]+:\s")
 
 
 def json_type(v) -> str | None:
@@ -72,9 +75,9 @@ def value_tokens(v) -> Iterable[str]:
 
 
 def shape(v) -> str:
-    """The build of a value; 'text' stands for prose of four words or more."""
+    """The build of a value; '<text>' stands for prose of four words or more, '<message>' for such behind a name and a colon."""
     if isinstance(v, str):
-        return "text" if len(v.split()) > 3 else "name"
+        return "name" if len(v.split()) <= 3 else "<message>" if _MESSAGE.match(v) else "<text>"
     if isinstance(v, list):
         return "[" + ",".join(sorted({shape(x) for x in v[:20]})) + "]"
     if isinstance(v, dict):
@@ -82,6 +85,10 @@ def shape(v) -> str:
     return json_type(v) or "null"
 
 
+def hashed(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "replace")) - (1 << 63)
+
+
 def parse(payload) -> dict | None:
     """A whole record, or None for null, cut-off or otherwise invalid text."""
     try:
@@ -99,14 +106,15 @@ PROFILE = T.StructType(
         T.StructField("types", T.ArrayType(T.StringType())),
         T.StructField("kinds", T.ArrayType(T.IntegerType())),
         T.StructField("failed_only", T.BooleanType()),
-        T.StructField("tokens", T.ArrayType(T.IntegerType())),
+        T.StructField("tokens", T.ArrayType(T.LongType())),
+        T.StructField("builds", T.ArrayType(T.LongType())),
     ]
 )
 
 
 def _profile_batches(nested: str, kind: str, ok: str):
     schema = pa.schema(
-        [("series", pa.string()), ("run_no", pa.int32()), ("field", pa.string()), ("types", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32())), ("failed_only", pa.bool_()), ("tokens", pa.list_(pa.int32()))]
+        [("series", pa.string()), ("run_no", pa.int32()), ("field", pa.string()), ("types", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32())), ("failed_only", pa.bool_()), ("tokens", pa.list_(pa.int64())), ("builds", pa.list_(pa.int64()))]
     )
 
     def run(batches):
@@ -117,23 +125,25 @@ def _profile_batches(nested: str, kind: str, ok: str):
                 if r is None:
                     continue
                 failed = r.get(ok) is False
-                of = crc32(str(r.get(kind)).encode()) % SKETCH
-                seen.setdefault((s, n, None), [set(), set(), True, set()])
+                of = crc32(str(r.get(kind)).encode()) % KINDS
+                seen.setdefault((s, n, None), [set(), set(), True, set(), set()])
                 if not failed:
                     seen[s, n, None][1].add(of)
                 for f, v in fields_of(r, nested):
-                    e = seen.setdefault((s, n, f), [set(), set(), True, set()])
+                    e = seen.setdefault((s, n, f), [set(), set(), True, set(), set()])
                     if (t := json_type(v)) is not None:
                         e[0].add(t)
-                        if len(e[3]) < SKETCH:
-                            e[3].update(crc32(x.encode()) % SKETCH for x in value_tokens(v))
-                            if "text" in (build := shape(v)):
-                                e[3].add(SKETCH + crc32(build.encode()) % SKETCH)
+                        e[3].update(map(hashed, value_tokens(v)))
+                        if "<message>" in (build := shape(v)) or ("<text>" in build and not isinstance(v, str)):
+                            e[4].add(hashed(build))
+                        for i in (3, 4):
+                            if len(e[i]) > 4 * SKETCH:
+                                e[i] = set(sorted(e[i])[:SKETCH])
                     if not failed:
                         e[1].add(of)
                         e[2] = False
-            rows = [(*k, sorted(e[0]), sorted(e[1]), e[2], sorted(e[3])) for k, e in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
+            rows = [(*k, sorted(e[0]), sorted(e[1]), e[2], sorted(e[3])[:SKETCH], sorted(e[4])[:SKETCH]) for k, e in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows) if rows else [[]] * 8, schema)], schema=schema)
 
     return run
 
@@ -150,7 +160,7 @@ def profile(records: DataFrame, series: str = "series", run: str = "run_no", pay
     def union(c: str) -> Column:
         return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
 
-    return parts.groupBy("series", "run_no", "field").agg(union("types"), union("kinds"), F.bool_and("failed_only").alias("failed_only"), union("tokens"))
+    return parts.groupBy("series", "run_no", "field").agg(union("types"), union("kinds"), F.bool_and("failed_only").alias("failed_only"), F.slice(union("tokens"), 1, SKETCH).alias("tokens"), F.slice(union("builds"), 1, SKETCH).alias("builds"))
 
 
 def fingerprints(prof: DataFrame) -> DataFrame:
@@ -169,8 +179,10 @@ def migrations(prof: DataFrame, alike: float = 0.25, kind_overlap: float = 0.6)
     their JSON types agree, they stand in the same kind of record (failed ones only,
     or successful records of mostly the same kinds, ``kind_overlap`` as Jaccard, among
     the kinds both runs have) and their values over the whole series look alike (at
-    least ``alike`` of the smaller token sketch is shared). Of several matches the best
-    one holds, mutually. A null type never counts as another type; the last type known
+    least ``alike`` of the smaller set of tokens is shared, as estimated by the least
+    hashes up to the bound that both sketches cover: exact up to ``SKETCH`` tokens).
+    Only messages of failed records ('Name: prose', or lists and objects that hold
+    prose) of one build are alike whatever they say. Of several matches the best one holds, mutually. A null type never counts as another type; the last type known
     holds.
     """
     prof = cut(prof)  # a few rows a run; the records are parsed once
@@ -183,7 +195,7 @@ def migrations(prof: DataFrame, alike: float = 0.25, kind_overlap: float = 0.6)
     wf = W.partitionBy("series", "field").orderBy("run_no")
     fields = fields.withColumn("types", F.coalesce(F.last(known, ignorenulls=True).over(wf), F.array().cast("array<string>")))
     # what a field's values look like and where it stands, over the whole series
-    vocab = fields.groupBy("series", "field", "types").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("vocab"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("series_kinds"))
+    vocab = fields.groupBy("series", "field", "types").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))), 1, SKETCH).alias("vocab"), F.array_distinct(F.flatten(F.collect_list("builds"))).alias("builds"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("series_kinds"))
     fields = fields.join(runs, key)
 
     now = fields.select(*key, "field", F.col("types").alias("t1"), F.col("kinds").alias("k1"), F.col("failed_only").alias("x1"))
@@ -197,8 +209,8 @@ def migrations(prof: DataFrame, alike: float = 0.25, kind_overlap: float = 0.6)
     begun = both.where(F.col("t0").isNull()).select(*key, F.col("field").alias("field_to"), F.col("t1").alias("types"), "k1", "x1")
     # as many pairs as fields change in one run; bounded by a record's own width
     pair = ended.join(begun, [*key, "types"])
-    pair = pair.join(vocab.select("series", F.col("field").alias("field_from"), "types", F.col("vocab").alias("v0"), F.col("series_kinds").alias("s0")), ["series", "field_from", "types"])
-    pair = pair.join(vocab.select("series", F.col("field").alias("field_to"), "types", F.col("vocab").alias("v1"), F.col("series_kinds").alias("s1")), ["series", "field_to", "types"])
+    pair = pair.join(vocab.select("series", F.col("field").alias("field_from"), "types", F.col("vocab").alias("v0"), F.col("builds").alias("b0"), F.col("series_kinds").alias("s0")), ["series", "field_from", "types"])
+    pair = pair.join(vocab.select("series", F.col("field").alias("field_to"), "types", F.col("vocab").alias("v1"), F.col("builds").alias("b1"), F.col("series_kinds").alias("s1")), ["series", "field_to", "types"])
     shared_kinds = F.array_intersect("prev_kinds", "all_kinds")
     a, b = F.array_intersect("k0", shared_kinds), F.array_intersect("k1", shared_kinds)
 
@@ -206,9 +218,14 @@ def migrations(prof: DataFrame, alike: float = 0.25, kind_overlap: float = 0.6)
         return F.size(F.array_intersect(p, q)) / F.greatest(F.size(F.array_union(p, q)), F.lit(1))
 
     kinds = F.when((F.size(a) > 0) & (F.size(b) > 0), jaccard(a, b)).otherwise(jaccard(F.col("s0"), F.col("s1")))
-    shared = F.array_intersect("v0", "v1")
-    like = F.size(shared) / F.greatest(F.least(F.size("v0"), F.size("v1")), F.lit(1))
-    prose = F.exists(shared, lambda t: t >= SKETCH)  # messages of one build are alike whatever they say
+
+    def bound(v: str) -> Column:
+        return F.when(F.size(v) < SKETCH, F.lit((1 << 63) - 1)).otherwise(F.element_at(v, -1))
+
+    upto = F.least(bound("v0"), bound("v1"))
+    c0, c1 = (F.filter(v, lambda t: t <= upto) for v in ("v0", "v1"))
+    like = F.size(F.array_intersect(c0, c1)) / F.greatest(F.least(F.size(c0), F.size(c1)), F.lit(1))
+    prose = F.col("x0") & F.col("x1") & F.arrays_overlap("b0", "b1")  # messages of one build are alike whatever they say
     pair = pair.withColumn("like", F.when(prose, F.greatest(like, F.lit(0.5))).otherwise(like)).withColumn("same_kind", F.when(F.col("x0") & F.col("x1"), 1.0).when(F.col("x0") | F.col("x1"), 0.0).otherwise(kinds))
     pair = pair.where((F.col("same_kind") >= kind_overlap) & (F.col("like") >= alike))
     score = [F.desc(F.col("like") + F.col("same_kind")), F.asc("field_from"), F.asc("field_to")]

@@ -42,3 +42,23 @@ def test_versions_and_empty(spark):
     assert v == {0: 1, 1: 2, 3: 3, 4: 3}
     e = D.profile(records(spark, []))
     assert D.migrations(e).count() == 0 and D.fingerprints(e).count() == 0
+
+
+def word(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+
+def test_wide_vocabularies_are_alike_only_by_what_they_share(spark):
+    def some(field, first):  # each record has 40 words of its own
+        return [rec("x", **{field: " ".join(word(first + 40 * i + j) for j in range(40))}) for i in range(100)]
+
+    other = D.migrations(D.profile(records(spark, [(0, some("title", 0)), (1, some("remark", 10_000))]))).collect()
+    assert {(x.kind, x.field_from, x.field_to) for x in other} == {("removed", "title", ""), ("added", "", "remark")}
+    same = D.migrations(D.profile(records(spark, [(0, some("title", 0)), (1, some("remark", 1000)[::-1])]))).collect()
+    assert [(x.kind, x.field_from, x.field_to) for x in same] == [("renamed", "title", "remark")]
+
+
+def test_prose_of_good_records_needs_shared_words(spark):
+    a, b = [rec("x", title="nothing else was left to do")], [rec("x", remark="some quite different prose altogether")]
+    got = D.migrations(D.profile(records(spark, [(0, a), (1, b)]))).collect()
+    assert {x.kind for x in got} == {"removed", "added"}
