@@ -220,34 +220,39 @@ def sample_labelled(docs: DataFrame, sample_docs: int, doc_id: str = "doc_id", t
     return out
 
 
-def cell_languages(model: EcocModel, body: str, sure: float = 0.5, least_words: int = 8) -> list[tuple[int, str, float, bool]]:
-    """(segment number, language, confidence, ambiguous) of the prose of a markdown cell.
+def cell_languages(model: EcocModel, body: str, sure: float = 0.5, least_words: int = 8) -> list[tuple[int, str, float, bool, bool]]:
+    """(segment number, language, confidence, ambiguous, counts) of every prose segment of a markdown cell.
 
-    Segments of fewer than ``least_words`` words or below confidence ``sure`` count only
-    if the cell has nothing better; then the whole cell is decoded at once.
+    Below confidence ``sure`` a segment is ambiguous. Segments of fewer than
+    ``least_words`` words or below ``sure`` do not count for the cell's languages; if none
+    counts, the whole cell decoded at once does: as its one segment, or as segment -1.
     """
     parts = [plain_words(s) for s in segments(body)]
-    found = [(i, *r) for i, w in enumerate(parts) if len(w) >= least_words and (r := model.decode(w)) and r[1] >= sure]
-    if not found:
-        whole = model.decode([w for p in parts for w in p])
-        found = [(0, *whole)] if whole else []
-    return found
+    found = [(i, len(w), model.decode(w)) for i, w in enumerate(parts) if w]
+    out = [(i, lang, p, near or p < sure, n >= least_words and p >= sure) for i, n, (lang, p, near) in found]
+    if len(out) == 1:
+        out = [(*out[0][:4], True)]
+    elif out and not any(r[4] for r in out):
+        lang, p, near = model.decode([w for part in parts for w in part])
+        out.append((-1, lang, p, near or p < sure, True))
+    return out
 
 
-_OUT = "doc_id bigint, cell_no int, segment int, lang string, confidence double, ambiguous boolean, label string, reason string"
+_OUT = "doc_id bigint, cell_no int, segment int, lang string, confidence double, ambiguous boolean, counts boolean, label string, reason string"
 
 
 def label_check(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, cell_no, segment, lang, confidence, ambiguous, label, reason) of every prose segment.
+    """(doc_id, cell_no, segment, lang, confidence, ambiguous, counts, label, reason) of every prose segment.
 
     ``reason``: 'missing' (no label), 'wrong' (the label's language is in no markdown
-    cell), 'mixed' (several languages) or 'right'. Documents without markdown prose,
+    cell), 'mixed' (several languages) or 'right', by the segments that count (see
+    ``cell_languages``). Documents without markdown prose,
     null and empty texts have no rows; a repeated row is checked again and gives repeated
     rows. The label is compared by language, whatever its spelling.
     """
     model = train(sample_labelled(docs, sample_docs, doc_id, text, lang))
     shipped = docs.sparkSession.sparkContext.broadcast((model.langs, model.code, model.weights, model.trust, model.scale))  # of fixed size
-    schema = pa.schema([("doc_id", pa.int64()), ("cell_no", pa.int32()), ("segment", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("ambiguous", pa.bool_()), ("label", pa.string()), ("reason", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("cell_no", pa.int32()), ("segment", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("ambiguous", pa.bool_()), ("counts", pa.bool_()), ("label", pa.string()), ("reason", pa.string())])
 
     def run(batches):
         m = EcocModel(*shipped.value)
@@ -255,7 +260,7 @@ def label_check(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id"
             rows = []
             for d, t, label in zip(*(b.column(i).to_pylist() for i in range(3))):
                 found = [(c, *r) for c, body in markdown_cells(t or "") for r in cell_languages(m, body)]
-                langs = {r[2] for r in found}
+                langs = {r[2] for r in found if r[5]}
                 code = label_code(label)
                 reason = "missing" if not code else "wrong" if code not in langs else "mixed" if len(langs) > 1 else "right"
                 rows += [(d, *r, code, reason) for r in found]
@@ -267,4 +272,4 @@ def label_check(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id"
 
 def flagged(checked: DataFrame) -> DataFrame:
     """(doc_id, cell_no, lang): the languages of each cell of documents with a missing, wrong or mixed label."""
-    return checked.where(F.col("reason") != "right").select("doc_id", "cell_no", "lang").distinct()
+    return checked.where((F.col("reason") != "right") & F.col("counts")).select("doc_id", "cell_no", "lang").distinct()

@@ -45,3 +45,16 @@ def test_reasons_and_edges(spark):
 def test_codewords_are_apart():
     m = L.code_matrix(8, 31)
     assert min((m[a] != m[b]).sum() for a in range(8) for b in range(a)) >= 12
+
+
+def test_every_segment_comes_out_and_few_words_do_not_count(spark):
+    base = spark.read.parquet(f"{DOCS}/documents.parquet").select("doc_id", "text", "lang")
+    en = "The old notebook shows the opacity of each blob and nothing else in a few seconds"
+    extra = [(-1, f"# %% [markdown]\n{en}\n\nDas alte Notizbuch zeigt die Deckkraft\n\n{en}", "fr"), (-2, "# %% [markdown]\nDas alte Notizbuch zeigt die Deckkraft\n\nohne Verlust in wenigen Sekunden hier", None)]
+    checked = L.label_check(base.unionByName(spark.createDataFrame(extra, base.schema))).where("doc_id < 0")
+    got = {(r.doc_id, r.segment): r for r in checked.collect()}
+    assert [k for k in sorted(got) if k[0] == -1] == [(-1, 0), (-1, 1), (-1, 2)]
+    assert [got[-1, i].counts for i in range(3)] == [True, False, True] and got[-1, 1].reason == "wrong"
+    assert [k for k in sorted(got) if k[0] == -2] == [(-2, -1), (-2, 0), (-2, 1)]
+    assert {(r.doc_id, r.lang) for r in L.flagged(checked).collect()} == {(-1, "en"), (-2, got[-2, -1].lang)}
+    assert all(r.ambiguous for r in got.values() if r.confidence < 0.5)
