@@ -1,31 +1,37 @@
 """The k most similar vectors of every vector, by multiprobe p-stable hashing.
 
-Vectors are projected on Gaussian (2-stable) directions, made orthogonal, and hashed
-to h_i = floor((a_i x + b_i) / w). A query first searches its own bucket in every
-table. It then visits perturbed buckets in the order of estimated success, that is of
-the distance from its projections to the buckets' boundaries, and leaves out those
-that lie farther than its k-th candidate. All candidates are reranked by exact distance.
-
-In as many dimensions as there are projections the boundary distances are lower bounds
-of the true ones, so a query that has visited every bucket within its k-th distance is
-complete: results are then exact, ties by smaller id. With more dimensions they are
-exact for the probes made, and ``most_probes`` bounds those.
-
-Groups are hashed with widths of their own (from their extent and count). A bucket with
-more than ``cap`` vectors is hashed again with finer widths, so a dense spot with a third
-of all rows is spread over many tasks. Equal vectors are searched once, as a place
-that holds its smallest ids.
+Vectors are projected on Gaussian (2-stable) directions, made orthogonal, and hashed to
+h_i = floor((a_i x + b_i) / w), in several tables. A query searches its own bucket of the
+first table. What may lie nearer than its k-th candidate is in perturbed buckets, of any
+table, its own buckets of the other tables among them. These are listed with a score, the
+distance along the projections to the bucket's contents, and visited in the order of the
+score, which is that of estimated success: in rounds, of which each shrinks the reach of a
+query and drops the buckets beyond it. Candidates are merged and reranked by distance.
+
+With as many projections as dimensions the score is a lower bound of the distance, and each
+table alone is complete: a query then goes through the table in which it has fewest buckets
+within reach, and the result is exact, ties by smaller id. With fewer projections the reach
+is that of a neighbour's expected projection, ``slack`` times, over all tables, and
+``probes`` bounds the visits of a query: recall grows with both.
+
+Skew: buckets have widths of their own group. A bucket of more than ``cap`` vectors is
+hashed finer, by the extent of its contents, until it is small; the coarser buckets above
+(each four times as wide) lead queries without near neighbours down to the leaves, best
+bound first. So a dense spot or a group with a third of all rows spreads over many tasks.
+A crowd of equal vectors stays with its k + 1 smallest ids.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cloudloom.plans.durable import cut
 
 _SEED = 20_240_607
+_FLAT = 2.0**-40  # extent, in widths of a bucket, below which it can't be divided
 
 
 def directions(dim: int, count: int, tables: int) -> np.ndarray:
@@ -59,38 +65,233 @@ def _matrix(c, dim: int) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def _ranked(q: np.ndarray, x: np.ndarray, ks: np.ndarray, ids: np.ndarray, y: np.ndarray, limit: np.ndarray, cells: int = 1 << 20):
+    """(row of the query, id, d2, whether it is among the k): in blocks of ``cells`` distances."""
+    step = max(1, cells // max(len(ids), 1))
+    for s in range(0, len(q), step):
+        e = min(s + step, len(q))
+        d2 = np.zeros((e - s, len(ids)))
+        for j in range(x.shape[1]):
+            d2 += np.square(x[s:e, j, None] - y[None, :, j])
+        d2[q[s:e, None] == ids[None]] = np.inf
+        k = min(int(ks[s:e].max(initial=1)), len(ids))
+        dk, ik = _top(d2, np.broadcast_to(ids, d2.shape), k)
+        yield s, e, dk, ik, np.isfinite(dk) & (np.arange(k)[None] < ks[s:e, None]) & (dk <= limit[s:e, None])
+
+
+_HOME = "g int, cell bigint, q bigint, x array<double>, k int, ids array<bigint>, d2s array<double>"
+
+
+def _home(dim: int, group: pa.DataType, factor: float):
+    """One bucket: for each query its candidates; ``x`` stays with those whose reach leaves the bucket."""
+    schema = pa.schema([("g", group), ("cell", pa.int64()), ("q", pa.int64()), ("x", pa.list_(pa.float64())), ("k", pa.int32()), ("ids", pa.list_(pa.int64())), ("d2s", pa.list_(pa.float64()))])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        asks = np.flatnonzero(t.column("asks").to_numpy())
+        if not len(asks):
+            return schema.empty_table()
+        ids, y = t.column("id").to_numpy(), _matrix(t.column("x"), dim)
+        q, ks, margin = ids[asks], t.column("k").to_numpy()[asks], t.column("margin").to_numpy()[asks]
+        got, d2s, size = [], [], np.zeros(len(q), np.int64)
+        reach = np.full(len(q), np.inf)
+        for s, e, dk, ik, good in _ranked(q, y[asks], ks, ids, y, np.full(len(q), np.inf)):
+            size[s:e] = good.sum(1)
+            full = size[s:e] >= ks[s:e]
+            reach[s:e][full] = dk[np.flatnonzero(full), ks[s:e][full] - 1]
+            got.append(ik[good])
+            d2s.append(dk[good])
+        offset = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+        out = np.sqrt(reach * factor) * (1 + 1e-9) + 1e-12 >= margin  # its reach leaves the bucket
+        ends = np.append(0, np.cumsum(np.where(out, dim, 0))).astype(np.int32)
+        xs = pa.ListArray.from_arrays(pa.array(ends), pa.array(y[asks][out].ravel()))
+        lists = [pa.ListArray.from_arrays(offset, pa.array(np.concatenate(v))) for v in (got, d2s)]
+        n = len(q)
+        return pa.Table.from_arrays([t.column("g").slice(0, 1).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, t.column("cell")[0].as_py())), pa.array(q), xs, pa.array(ks.astype(np.int32)), *lists], schema=schema)
+
+    return run
+
+
 _FOUND = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("d2", pa.float64())])
 _FOUND_SQL = "q bigint, id bigint, d2 double"
 
 
-def _search(dim: int, cells: int = 1 << 20):
-    """Queries (q, x, k, limit2) of one bucket against its vectors (id, x): (q, id, d2) of the k nearest within limit2."""
+def _visit(dim: int):
+    """Queries (q, x, k, limit2) that visit one bucket (id, x): (q, id, d2) of the k nearest within limit2."""
 
     def run(queries: pa.Table, places: pa.Table) -> pa.Table:
         if not queries.num_rows or not places.num_rows:
             return _FOUND.empty_table()
         places = places.sort_by("to_id")
-        q, ids = queries.column("q").to_numpy(), places.column("to_id").to_numpy()
-        x, y = _matrix(queries.column("x"), dim), _matrix(places.column("to_x"), dim)
-        ks, limit = queries.column("k").to_numpy(), queries.column("limit2").to_numpy()
-        step, out = max(1, cells // len(ids)), []
-        for s in range(0, len(q), step):
-            e = min(s + step, len(q))
-            d2 = np.zeros((e - s, len(ids)))
-            for j in range(dim):
-                d2 += np.square(x[s:e, j, None] - y[None, :, j])
-            d2[q[s:e, None] == ids[None]] = np.inf
-            k = min(int(ks[s:e].max()), len(ids))
-            dk, ik = _top(d2, np.broadcast_to(ids, d2.shape), k)
-            good = np.isfinite(dk) & (np.arange(k)[None] < ks[s:e, None]) & (dk <= limit[s:e, None])
-            out.append((q[s:e][np.nonzero(good)[0]], ik[good], dk[good]))
+        q, ks, limit = (queries.column(c).to_numpy() for c in ("q", "k", "limit2"))
+        out = [(q[s:e][np.nonzero(good)[0]], ik[good], dk[good]) for s, e, dk, ik, good in _ranked(q, _matrix(queries.column("x"), dim), ks, places.column("to_id").to_numpy(), _matrix(places.column("to_x"), dim), limit)]
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_FOUND)
 
     return run
 
 
-def _projections(x: str, dirs: np.ndarray) -> Column:
-    return F.array(*[sum((F.col(x)[j] * float(a[j]) for j in range(1, len(a))), F.col(x)[0] * float(a[0])) for a in dirs])
+def _each(m: int, f) -> Column:
+    return F.array(*[f(i) for i in range(m)])
+
+
+def _total(m: int, f) -> Column:
+    out = f(0)
+    for i in range(1, m):
+        out = out + f(i)
+    return out
+
+
+class _Tables:
+    """All hash tables: where each vector is, and the tree of buckets above the leaves."""
+
+    def __init__(self, rows: DataFrame, dim: int, tables: int, m: int, cap: int):
+        self.dirs, self.off, self.m, self.tables, self.cap = directions(dim, m, tables), offsets(tables, m), m, tables, cap
+        p = self._projected(rows).select("g", "t", "p")
+        bounds = [f(F.col("p")[i]).alias(f"{n}{i}") for i in range(m) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        s = p.groupBy("t", "g").agg(F.count("*").alias("n"), *bounds)
+        span = F.greatest(F.lit(0.0), *[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(m)])
+        # vectors lie near surfaces where there are few projections: buckets of about cap / 4 if two dimensions are filled evenly
+        parts = F.greatest(F.lit(1.0), F.floor(F.pow(F.col("n") * 4.0 / cap, F.lit(1.0 / (2 if m <= 3 else m)))))
+        s = s.withColumn("parts", parts).withColumn("w", F.when(span > 0, span / F.col("parts") * (1 + 1e-9)).otherwise(F.lit(1.0)))
+        self.stats = cut(s.select("t", "g", "parts", "w", _each(m, lambda i: F.col(f"lo{i}")).alias("base")))
+        widest = self.stats.agg(F.max("parts")).first()[0] or 1.0
+        self.steps = 1 + int(np.ceil(np.log2(widest + 2) / 2))  # so many times four buckets until one holds a group
+
+        coded = self.coded(rows).withColumn("cell", self.cell(F.lit(0)))
+        self.splits: list[DataFrame] = []
+        level = cut(self._directory(coded, F.lit(None).cast("bigint")))
+        nodes = level.where(F.lit(False))
+        low = level
+        while True:
+            nodes = nodes.unionByName(level)
+            hot = level.where("not leaf and not flat").select("t", "g", "cell", F.floor(F.log2(4 / F.col("extent"))).cast("int").alias("lev"))
+            if hot.isEmpty():
+                break
+            self.splits.append(hot)
+            coded = self._finer(coded.join(hot, ["t", "g", "cell"]))
+            level = cut(self._directory(coded, F.col("above")))
+        # the coarser buckets: each level four times as wide
+        up = low.select("*", F.explode(F.sequence(F.lit(1), F.lit(self.steps))).alias("r"))
+        scale = F.pow(F.lit(0.25), F.col("r"))
+        h = [F.floor(F.col("lo")[i] * scale).cast("bigint") for i in range(m)]
+        above = [F.floor(F.col("lo")[i] * scale * 0.25).cast("bigint") for i in range(m)]
+        up = up.withColumn("node", F.xxhash64("t", -2 * F.col("r"), *h)).withColumn("up", F.xxhash64("t", -2 * F.col("r") - 2, *above))
+        coarse = up.groupBy("t", "g", F.col("node").alias("cell"), F.col("up").alias("above")).agg(F.sum("n").alias("n"), *[f(F.col(c)[i]).alias(f"{c}{i}") for i in range(m) for f, c in ((F.min, "lo"), (F.max, "hi"))])
+        coarse = coarse.select("t", "g", "cell", "above", "n", *[_each(m, lambda i: F.col(f"{c}{i}")).alias(c) for c in ("lo", "hi")], F.lit(False).alias("leaf"), F.lit(False).alias("flat"), F.lit(0.0).alias("extent"))
+        first = [F.floor(F.col("lo")[i] * 0.25).cast("bigint") for i in range(m)]
+        nodes = nodes.withColumn("above", F.coalesce("above", F.xxhash64("t", F.lit(-2), *first)))
+        self.nodes = cut(nodes.unionByName(coarse).drop("extent"))
+
+    def _projected(self, rows: DataFrame) -> DataFrame:
+        """A row for each table t, with the projections p and the offsets; vectors of many dimensions by one matrix product a batch."""
+        dirs = self.dirs
+        if dirs.shape[2] <= 8:
+            ps = [_each(self.m, lambda i: _total(dirs.shape[2], lambda j: F.col("x")[j] * float(dirs[t][i][j]))) for t in range(self.tables)]
+        else:
+            flat = dirs.reshape(-1, dirs.shape[2]).T
+
+            @F.pandas_udf("array<double>")
+            def project(x: pd.Series) -> pd.Series:
+                return pd.Series(list(np.stack(x.to_numpy()) @ flat)) if len(x) else pd.Series([], dtype=object)
+
+            rows = rows.withColumn("ps", project("x"))
+            ps = [F.slice("ps", 1 + t * self.m, self.m) for t in range(self.tables)]
+        each = [F.struct(F.lit(t).alias("t"), p.alias("p"), F.array(*map(F.lit, map(float, self.off[t]))).alias("off")) for t, p in enumerate(ps)]
+        return rows.select("*", F.inline(F.array(*each))).drop("ps")
+
+    def coded(self, rows: DataFrame) -> DataFrame:
+        """Adds t (a row for each table), the place u in widths and the width w."""
+        p = self._projected(rows)
+        u = _each(self.m, lambda i: (F.col("p")[i] - F.col("base")[i]) / F.col("w") + F.col("off")[i])
+        return p.join(self.stats, ["t", "g"]).withColumn("u", u).drop("p", "off", "base", "parts")
+
+    def cell(self, lev: Column) -> Column:
+        return F.xxhash64("t", lev.cast("int"), *[F.floor(F.col("u")[i] * F.pow(F.lit(2.0), lev)).cast("bigint") for i in range(self.m)])
+
+    def _finer(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("above", F.col("cell")).withColumn("cell", self.cell(F.col("lev"))).withColumn("at", F.col("lev")).drop("lev")
+
+    def _directory(self, coded: DataFrame, above: Column) -> DataFrame:
+        d = coded.withColumn("above", above).groupBy("t", "g", "cell", "above").agg(F.count("*").alias("n"), *[f(F.col("u")[i]).alias(f"{c}{i}") for i in range(self.m) for f, c in ((F.min, "lo"), (F.max, "hi"))])
+        extent = F.greatest(F.lit(0.0), *[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(self.m)])
+        d = d.select("t", "g", "cell", "above", "n", *[_each(self.m, lambda i: F.col(f"{c}{i}")).alias(c) for c in ("lo", "hi")], extent.alias("extent"))
+        flat = F.col("extent") <= _FLAT
+        return d.withColumn("leaf", (F.col("n") <= self.cap) | flat).withColumn("flat", flat & (F.col("n") > self.cap))
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """Adds the leaf of each row of ``coded`` and how far its borders are at least (margin)."""
+        d = df.withColumn("cell", self.cell(F.lit(0))).withColumn("at", F.lit(0))
+        for hot in self.splits:
+            d = d.join(hot, ["t", "g", "cell"], "left")
+            d = d.withColumn("cell", F.when(F.col("lev").isNull(), F.col("cell")).otherwise(self.cell(F.col("lev")))).withColumn("at", F.coalesce("lev", "at")).drop("lev")
+        scale = F.pow(F.lit(2.0), F.col("at"))
+        part = [F.col("u")[i] * scale - F.floor(F.col("u")[i] * scale) for i in range(self.m)]
+        border = [F.least(f, 1 - f) for f in part]
+        return d.withColumn("margin", (F.least(*border) if self.m > 1 else border[0]) * F.col("w") / scale)
+
+    def reach(self, opened: DataFrame, bounds: bool, home: str = "home") -> DataFrame:
+        """(t, g, q, cell, score): the leaves of every table within the reach of each query, but for its home.
+
+        ``opened``: (g, q, x, k, reach2, home). Queries start at the bucket that is at
+        least four times as wide as their reach, and go down by what lies within it.
+        ``bounds``: a bucket of more than k vectors bounds the reach by its far corner.
+        """
+        d = self.coded(opened).withColumn("ru", F.sqrt("reach2") * (1 + 1e-9) / F.col("w") + 1e-12)
+        r = F.when(F.col("reach2") == float("inf"), F.lit(self.steps)).otherwise(F.least(F.lit(self.steps), F.greatest(F.lit(0), F.ceil(F.log2(4 * F.col("ru")) / 2)))).cast("int")
+        d = d.withColumn("r", r)
+        scale = F.pow(F.lit(0.25), F.col("r"))
+        for i in range(self.m):
+            ends = [F.when(F.col("r") == self.steps, F.lit(0)).otherwise(F.floor((F.col("u")[i] + s * F.col("ru")) * scale)).cast("bigint") for s in (-1, 1)]
+            d = d.withColumn(f"h{i}", F.explode(F.sequence(*ends)))
+        d = d.withColumn("cell", F.xxhash64("t", (-2 * F.col("r")).cast("int"), *[f"h{i}" for i in range(self.m)]))
+        keep = ["t", "g", "q", "k", "u", "w", "reach2", home]
+        front = self._within(d.select(*keep, "cell").join(self.nodes, ["t", "g", "cell"]), bounds and self.steps > 0)
+        leaves = front.where("leaf")
+        front = front.where("not leaf")
+        down = self.nodes.withColumnRenamed("cell", "child").withColumnRenamed("above", "cell")
+        while not front.isEmpty():
+            front = self._within(front.select(*keep, "cell").join(down, ["t", "g", "cell"]).drop("cell").withColumnRenamed("child", "cell"), bounds)
+            leaves = leaves.unionByName(front.where("leaf"))
+            front = front.where("not leaf")
+        return leaves.where((F.col("t") != 0) | (F.col("cell") != F.col(home))).select("t", "g", "q", "cell", "score")
+
+    def _within(self, d: DataFrame, bounds: bool) -> DataFrame:
+        w2 = F.col("w") * F.col("w")
+
+        def outside(i: int) -> Column:
+            v = F.greatest(F.lit(0.0), F.col("lo")[i] - F.col("u")[i], F.col("u")[i] - F.col("hi")[i])
+            return v * v
+
+        def far(i: int) -> Column:
+            v = F.greatest(F.abs(F.col("lo")[i] - F.col("u")[i]), F.abs(F.col("u")[i] - F.col("hi")[i]))
+            return v * v
+
+        d = d.withColumn("score", _total(self.m, outside) * w2)
+        if bounds:
+            corner = F.min(F.when(F.col("n") > F.col("k"), _total(self.m, far) * w2 * (1 + 1e-9) + 1e-24)).over(W.partitionBy("t", "g", "q"))
+            d = d.withColumn("reach2", F.least("reach2", F.coalesce(corner, F.lit(float("inf")))))
+        d = d.where(F.col("score") <= F.col("reach2") * (1 + 1e-9) + 1e-24)
+        return cut(d.select("t", "g", "q", "k", "u", "w", "reach2", "home", "cell", "leaf", "score"))
+
+
+def _crowds(rows: DataFrame, tables: _Tables) -> tuple[DataFrame, DataFrame]:
+    """(rows without the rest of each crowd, (g, q, id, d2) of the queries in crowds).
+
+    A crowd is a place with more than k + 1 equal vectors in a bucket that can't be divided.
+    """
+    hot = tables.nodes.where("flat and t = 0").select("t", "g", "cell")
+    dense = tables.placed(tables.coded(rows)).where("t = 0").join(hot, ["t", "g", "cell"], "left_semi").select("g", "id", "x", "k", "asks")
+    dense = cut(dense)
+    spot = W.partitionBy("g", "x").orderBy("id")
+    held = cut(dense.withColumn("n", F.row_number().over(spot)).where(F.col("n") <= F.col("k") + 1))  # a group limit, before the shuffle
+    crowd = held.where(F.col("n") == F.col("k") + 1).select("g", "x", "k").distinct()
+    first = held.join(crowd.select("g", "x"), ["g", "x"], "left_semi").groupBy("g", "x").agg(F.array_sort(F.collect_list("id")).alias("m"))
+    inside = dense.where("asks").drop("k").join(crowd, ["g", "x"]).join(first, ["g", "x"]).select("g", F.col("id").alias("q"), "k", "m")
+    same = inside.select("g", "q", F.explode(F.slice(F.filter("m", lambda v: v != F.col("q")), F.lit(1), F.col("k"))).alias("id"), F.lit(0.0).alias("d2"))
+    silent = held.join(crowd.select("g", "x", F.lit(False).alias("in_crowd")), ["g", "x"], "left").select("g", "id", "x", "k", F.coalesce("in_crowd", "asks").alias("asks"))
+    others = dense.select("g", "id").withColumnRenamed("id", "gone")
+    rest = rows.join(others, (rows["g"] == others["g"]) & (rows["id"] == F.col("gone")), "left_anti")
+    return rest.unionByName(silent), same
 
 
 def nearest(
@@ -101,147 +302,77 @@ def nearest(
     tables: int = 2,
     projections: int = 3,
     cap: int = 1024,
-    most_probes: int = 343,
+    probes: int | None = None,
+    slack: float = 2.0,
+    batch: int = 8,
 ) -> DataFrame:
     """(g, q, id, d2): the k nearest vectors of the same group of each query, by (distance, id).
 
     ``vectors``: (g, id BIGINT, x ARRAY<DOUBLE>, and k unless ``k_default`` is given);
     ids are unique. ``queries`` is a condition that selects the queries; all rows by
     default. A group with fewer than k others gives all of them. Vectors that are null,
-    of another length or not finite are left out, as are null groups and ids. An empty
-    table gives an empty result. Squared distances are doubles, ties go to the smaller id.
+    of another length or not finite are left out, as are null groups and ids, and queries
+    whose k is null or not positive. An empty table gives an empty result. Squared
+    distances are doubles, ties go to the smaller id. ``batch``: buckets visited in the
+    first round; each further round visits so many times more. ``probes``: most visits of a
+    query beside its home; None visits all within reach (exact if projections = dim).
     """
+    m = min(projections, dim)
     x = F.col("x")
     fine = F.col("g").isNotNull() & F.col("id").isNotNull() & (F.size(x) == dim) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    k = F.lit(k_default) if k_default is not None else F.col("k")
-    rows = vectors.select("g", F.col("id").cast("bigint").alias("id"), x.cast("array<double>").alias("x"), k.cast("int").alias("k"), (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).alias("asks")).where(fine)
-    rows = cut(rows)
-
-    # Equal vectors: a place holds its k + 1 smallest ids; more of them can't be anyone's neighbour
-    # but each other's. The filter on row_number is a group limit, applied before the shuffle.
-    spot = W.partitionBy("g", "x").orderBy("id")
-    held = cut(rows.withColumn("n", F.row_number().over(spot)).where(F.col("n") <= F.col("k") + 1))
-    crowded = held.where(F.col("n") == F.col("k") + 1).select("g", "x", "k").distinct()
-    members = held.join(crowded.select("g", "x"), ["g", "x"], "left_semi").select("g", "x", F.col("id").alias("m"), "n")
-    rest = rows.where("asks").join(crowded.select("g", "x"), ["g", "x"], "left_semi").select("g", "x", F.col("id").alias("q"), "k")
-    in_spot = rest.join(members.groupBy("g", "x").agg(F.array_sort(F.collect_list("m")).alias("m")), ["g", "x"])
-    same_spot = in_spot.select("g", "q", F.explode(F.slice(F.filter("m", lambda v: v != F.col("q")), F.lit(1), F.col("k"))).alias("id"), F.lit(0.0).alias("d2"))
-    asking = rows.where("asks").join(crowded.select("g", "x"), ["g", "x"], "left_anti").select("g", F.col("id").alias("q"), "x", "k")
-    places = held.select("g", "id", "x")
-
-    dirs, offs = directions(dim, projections, tables), offsets(tables, projections)
-    layouts, found = [], None
-    for t in range(tables):
-        lay = _Layout(places, dirs[t], offs[t], cap)
-        layouts.append(lay)
-        own = lay.home(asking)
-        first = lay.search(own.withColumn("limit2", F.lit(float("inf"))), dim)
-        found = first if found is None else found.unionByName(first)
-    found = cut(found)
-    state = asking.join(_best(found), "q", "left")
-    state = state.withColumn("best", F.coalesce(F.slice("cand", F.lit(1), F.col("k")), F.array().cast("array<struct<d2:double,id:bigint>>")))
-    reach2 = F.when(F.size("best") >= F.col("k"), F.element_at("best", -1)["d2"]).otherwise(F.lit(float("inf")))
-    state = state.select("g", "q", "x", "k", reach2.alias("limit2"))
-    more = layouts[0].probe(state, dim, most_probes)
-    all_found = found.unionByName(more)
-    best = asking.select("g", "q", "k").join(_best(all_found), "q").select("g", "q", F.explode(F.slice("cand", F.lit(1), F.col("k"))).alias("c"))
-    return best.select("g", "q", "c.id", "c.d2").unionByName(same_spot.select("g", "q", "id", "d2"))
+    k = (F.lit(k_default) if k_default is not None else F.col("k")).cast("int")
+    asks = (F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))) & F.coalesce(k > 0, F.lit(False))
+    rows = cut(vectors.select("g", F.col("id").cast("bigint").alias("id"), x.cast("array<double>").alias("x"), F.coalesce(k, F.lit(0)).alias("k"), asks.alias("asks")).where(fine))
+    tree = _Tables(rows, dim, tables, m, cap)
+    same = None
+    if not tree.nodes.where("flat").isEmpty():
+        rows, same = _crowds(rows, tree)
+        rows = cut(rows)
+        tree = _Tables(rows, dim, tables, m, cap)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    factor = min(1.0, slack * m / dim) if m < dim else 1.0
+    kind = rows.schema["g"].dataType
+    first = tree.placed(tree.coded(rows).where("t = 0")).select("g", "cell", "id", "x", "k", "asks", "margin")
+    state = cut(first.groupBy("g", "cell").applyInArrow(_home(dim, to_arrow_type(kind), factor), _HOME.replace("g int", f"g {kind.simpleString()}")))
+    pairs = F.explode(F.arrays_zip(F.col("d2s").alias("d2"), F.col("ids").alias("id"))).alias("c")
+    closed = state.where(F.size("x") == 0).select("g", "q", pairs).select("g", "q", "c.id", "c.d2")
+    limit2 = F.when(F.size("d2s") >= F.col("k"), F.element_at("d2s", -1)).otherwise(F.lit(float("inf")))
+    opened = state.where(F.size("x") > 0).select("g", "q", "x", "k", limit2.alias("limit2"), F.col("cell").alias("home"), "d2s", "ids")
+    leaves = tree.reach(opened.select("g", "q", "x", "k", (F.col("limit2") * factor).alias("reach2"), "home"), True)
+    by_q = W.partitionBy("g", "q")
+    if m == dim and probes is None:  # one table is enough: that with the fewest buckets to visit
+        fewest = F.array_sort(F.array(*[F.struct(F.count_if(F.col("t") == t).over(by_q).alias("n"), F.lit(t).alias("t")) for t in range(tables)]))[0]
+        leaves = leaves.withColumn("of", fewest).where(F.col("t") == F.col("of.t"))
+    leaves = leaves.withColumn("rank", F.row_number().over(by_q.orderBy("score", "t", "cell")))
+    if probes is not None:
+        leaves = leaves.where(F.col("rank") <= probes)
+    todo = cut(leaves.join(opened.select("g", "q", "x", "k", "limit2"), ["g", "q"]).select("t", "g", "q", "x", "k", "limit2", "cell", "score", "rank"))
+    everywhere = tree.placed(tree.coded(rows)).select("g", "cell", F.col("id").alias("to_id"), F.col("x").alias("to_x"))
+    found = opened.select("g", "q", "k", pairs).select("g", "q", "k", "c.d2", "c.id")
+    most, done = batch, 0
+    while not todo.isEmpty():
+        now = todo.where(F.col("rank") <= most)
+        there = everywhere.join(now.select("g", "cell").distinct(), ["g", "cell"], "left_semi").select(F.col("g").alias("to_g"), F.col("cell").alias("to_cell"), "to_id", "to_x")
+        got = now.select("g", "cell", "q", "x", "k", "limit2").groupBy("g", "cell").cogroup(there.groupBy("to_g", "to_cell")).applyInArrow(_visit(dim), _FOUND_SQL)
+        got = cut(got.join(opened.select("g", "q", "k"), "q").select("g", "q", "k", "d2", "id"))
+        found = found.unionByName(got)
+        done, most = most, most * batch
+        later = todo.where(F.col("rank") > done)
+        if later.isEmpty():
+            break
+        best = _best(found).select("q", F.when(F.size("cand") >= F.col("k"), F.element_at("cand", -1)["d2"]).otherwise(F.lit(float("inf"))).alias("now2"))
+        later = later.join(best, "q", "left").withColumn("limit2", F.least("limit2", F.coalesce("now2", "limit2"))).drop("now2")
+        todo = cut(later.where(F.col("score") <= F.col("limit2") * factor * (1 + 1e-9) + 1e-24))
+    out = closed.unionByName(_best(found).select("g", "q", F.explode("cand").alias("c")).select("g", "q", "c.id", "c.d2"))
+    return out if same is None else out.unionByName(same)
 
 
 def _best(found: DataFrame) -> DataFrame:
-    """Merged candidates of all tables and probes, distinct, best first."""
-    return found.groupBy("q").agg(F.array_sort(F.collect_set(F.struct("d2", "id"))).alias("cand"))
-
-
-class _Layout:
-    """One hash table: where each place is, with hot buckets hashed finer."""
-
-    def __init__(self, places: DataFrame, dirs: np.ndarray, off: np.ndarray, cap: int):
-        self.dirs, self.off, self.m = dirs, off, len(dirs)
-        p = places.withColumn("p", _projections("x", dirs))
-        span = [F.max(F.col("p")[i]) - F.min(F.col("p")[i]) for i in range(self.m)]
-        stats = p.groupBy("g").agg(F.count("*").alias("n"), F.greatest(*span).alias("span"), *[F.min(F.col("p")[i]).alias(f"base{i}") for i in range(self.m)])
-        # splats lie near surfaces: buckets of about cap / 4 if two dimensions are filled evenly
-        parts = F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("n") * 4.0 / cap)))
-        self.stats = stats.select("g", F.array(*[f"base{i}" for i in range(self.m)]).alias("base"), F.when(F.col("span") > 0, F.col("span") / parts * (1 + 1e-9)).otherwise(F.lit(1.0)).alias("w"))
-        hashed = self._hash(p, "w").withColumnRenamed("h", "h0")
-        sizes = hashed.groupBy("g", "h0").agg(F.count("*").alias("n"))
-        depth = F.when(F.col("n") > cap, F.ceil(F.log2(F.col("n") / cap) / 2) + 1).otherwise(F.lit(0)).cast("int")
-        self.blocks = cut(sizes.select("g", "h0", depth.alias("depth")))
-        placed = hashed.join(self.blocks, ["g", "h0"])
-        self.places = placed.select("g", "h0", self._sub().alias("h1"), "id", "x")
-
-    def _hash(self, df: DataFrame, width: str) -> DataFrame:
-        """Adds h, the array of the h_i, and keeps base and w of the group."""
-        d = df.join(self.stats, "g")
-        h = F.array(*[F.floor((F.col("p")[i] - F.col("base")[i]) / F.col(width) + float(self.off[i])).cast("bigint") for i in range(self.m)])
-        return d.withColumn("h", h)
-
-    def _sub(self) -> Column:
-        """The finer h_i within a hot bucket; zeros where it is not hot."""
-        fine = F.pow(F.lit(2.0), F.col("depth"))
-        return F.array(*[F.floor(((F.col("p")[i] - F.col("base")[i]) / F.col("w") + float(self.off[i]) - F.col("h0")[i]) * fine).cast("bigint") for i in range(self.m)])
-
-    def home(self, asking: DataFrame) -> DataFrame:
-        d = self._hash(asking.withColumn("p", _projections("x", self.dirs)), "w").withColumnRenamed("h", "h0").join(self.blocks, ["g", "h0"])
-        return d.select("g", "h0", self._sub().alias("h1"), "q", "x", "k")
-
-    def search(self, at: DataFrame, dim: int) -> DataFrame:
-        key = ["g", "h0", "h1"]
-        there = self.places.select(*[F.col(c).alias(f"to_{c}") for c in (*key, "id", "x")])  # own names: both sides may come from one table
-        return at.select(*key, "q", "x", "k", "limit2").groupBy(*key).cogroup(there.groupBy(*[f"to_{c}" for c in key])).applyInArrow(_search(dim), _FOUND_SQL)
-
-    def probe(self, state: DataFrame, dim: int, most: int) -> DataFrame:
-        """Candidates from every other bucket that may hold something nearer than limit2.
-
-        Perturbed buckets within reach are listed nearest first; a query with more than
-        ``most`` of them looks through the buckets of its group instead.
-        """
-        d = self._hash(state.withColumn("p", _projections("x", self.dirs)), "w")
-        r = F.sqrt("limit2") * (1 + 1e-9) + 1e-12
-        at = [(F.col("p")[i] - F.col("base")[i]) / F.col("w") + float(self.off[i]) for i in range(self.m)]
-        d = d.withColumn("u", F.array(*at)).withColumn("ru", r / F.col("w"))
-        lo = [F.floor(F.col("u")[i] - F.col("ru")) for i in range(self.m)]
-        hi = [F.floor(F.col("u")[i] + F.col("ru")) for i in range(self.m)]
-        count = F.lit(1.0)
-        for i in range(self.m):
-            count = count * (hi[i] - lo[i] + 1).cast("double")
-        d = d.withColumn("count", F.when(F.col("limit2") == float("inf"), F.lit(float("inf"))).otherwise(count))
-
-        def gap(u: Column, ru: Column, h: Column, size: Column) -> Column:
-            """Whether bucket [h, h + size) is within ru of u along every projection."""
-            ok = F.lit(True)
-            for i in range(self.m):
-                ok &= (h[i] <= u[i] + ru) & (h[i] + size >= u[i] - ru)
-            return ok
-
-        keep = ["g", "q", "x", "k", "limit2", "u", "ru"]
-        near = d.where(F.col("count") <= most)
-        for i in range(self.m):
-            near = near.withColumn(f"c{i}", F.explode(F.sequence(F.floor(F.col("u")[i] - F.col("ru")).cast("bigint"), F.floor(F.col("u")[i] + F.col("ru")).cast("bigint"))))
-        near = near.withColumn("h0", F.array(*[f"c{i}" for i in range(self.m)])).join(self.blocks, ["g", "h0"]).select(*keep, "h", "h0", "depth")
-        # far queries: every bucket of the group whose distance can matter (bucket table, not rows)
-        far = d.where(F.col("count") > most).select(*keep, "h").join(self.blocks, "g").where(gap(F.col("u"), F.col("ru"), F.col("h0"), F.lit(1)))
-        hit = near.unionByName(far.select(*near.columns))
-        cold = hit.where("depth = 0").withColumn("h1", F.array(*[F.lit(0).cast("bigint")] * self.m))
-        hot = hit.where("depth > 0").withColumn("fine", F.pow(F.lit(2.0), F.col("depth")))
-        for i in range(self.m):
-            a = F.greatest(F.lit(0), F.floor((F.col("u")[i] - F.col("ru") - F.col("h0")[i]) * F.col("fine"))).cast("bigint")
-            b = F.least(F.col("fine") - 1, F.floor((F.col("u")[i] + F.col("ru") - F.col("h0")[i]) * F.col("fine"))).cast("bigint")
-            hot = hot.withColumn("a", a).withColumn("b", b).where("a <= b").withColumn(f"s{i}", F.explode(F.sequence("a", "b")))
-        hot = hot.withColumn("h1", F.array(*[f"s{i}" for i in range(self.m)]))
-        own = F.array(*[F.floor((F.col("u")[i] - F.col("h0")[i]) * F.pow(F.lit(2.0), F.col("depth"))).cast("bigint") for i in range(self.m)])
-        to = cold.select("g", "h", "h0", "h1", "depth", "u", "ru", "q", "x", "k", "limit2").unionByName(hot.select("g", "h", "h0", "h1", "depth", "u", "ru", "q", "x", "k", "limit2"))
-        to = to.where(~((F.col("h") == F.col("h0")) & (F.col("h1") == own)))
-        # order of estimated success: squared distance to the bucket along the projections; beyond limit2 it can't succeed
-        size = F.pow(F.lit(2.0), -F.col("depth"))
-        score = F.lit(0.0)
-        for i in range(self.m):
-            low = F.col("h0")[i] + F.col("h1")[i] * size
-            out = F.greatest(F.lit(0.0), low - F.col("u")[i], F.col("u")[i] - low - size)
-            score = score + out * out
-        to = to.withColumn("score", score).where(F.col("score") <= F.col("ru") * F.col("ru") * (1 + 1e-9))
-        return self.search(to, dim)
+    """(q, g, k, cand): merged candidates of all tables and probes, distinct, the k best first."""
+    best = F.array_sort(F.collect_set(F.struct("d2", "id")))
+    return found.groupBy("q").agg(F.first("g").alias("g"), F.first("k").alias("k"), best.alias("c")).select("q", "g", "k", F.slice("c", F.lit(1), F.col("k")).alias("cand"))
 
 
 def pairs(found: DataFrame) -> DataFrame:
