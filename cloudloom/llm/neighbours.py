@@ -15,10 +15,10 @@ is that of a neighbour's expected projection, ``slack`` times, over all tables,
 ``probes`` bounds the visits of a query: recall grows with both.
 
 Skew: buckets have widths of their own group. A bucket of more than ``cap`` vectors is
-hashed finer, by the extent of its contents, until it is small; the coarser buckets above
-(each four times as wide) lead queries without near neighbours down to the leaves, best
-bound first. So a dense spot or a group with a third of all rows spreads over many tasks.
-A crowd of equal vectors stays with its k + 1 smallest ids.
+hashed finer, by the extent of its contents, until it is small, and small ones are put
+together in wider ones; this tree leads queries without near neighbours down to the leaves,
+best bound first. So a dense spot or a group with a third of all rows spreads over many
+tasks. A crowd of equal vectors stays with its k + 1 smallest ids.
 """
 
 from __future__ import annotations
@@ -150,37 +150,42 @@ class _Tables:
         bounds = [f(F.col("p")[i]).alias(f"{n}{i}") for i in range(m) for f, n in ((F.min, "lo"), (F.max, "hi"))]
         s = p.groupBy("t", "g").agg(F.count("*").alias("n"), *bounds)
         span = F.greatest(F.lit(0.0), *[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(m)])
-        # vectors lie near surfaces where there are few projections: buckets of about cap / 4 if two dimensions are filled evenly
-        parts = F.greatest(F.lit(1.0), F.floor(F.pow(F.col("n") * 4.0 / cap, F.lit(1.0 / (2 if m <= 3 else m)))))
+        # buckets of cap / 64 where the directions are filled evenly; small ones are put together below
+        parts = F.greatest(F.lit(1.0), F.floor(F.pow(F.col("n") * 64.0 / cap, F.lit(1.0 / m))))
         s = s.withColumn("parts", parts).withColumn("w", F.when(span > 0, span / F.col("parts") * (1 + 1e-9)).otherwise(F.lit(1.0)))
         self.stats = cut(s.select("t", "g", "parts", "w", _each(m, lambda i: F.col(f"lo{i}")).alias("base")))
         widest = self.stats.agg(F.max("parts")).first()[0] or 1.0
-        self.steps = 1 + int(np.ceil(np.log2(widest + 2) / 2))  # so many times four buckets until one holds a group
+        self.top = int(np.ceil(np.log2(widest + 2)))  # so many times twice as wide until one bucket holds a group
 
         coded = self.coded(rows).withColumn("cell", self.cell(F.lit(0)))
+        base = level = cut(self._directory(coded, F.lit(None).cast("bigint")))
         self.splits: list[DataFrame] = []
-        level = cut(self._directory(coded, F.lit(None).cast("bigint")))
-        nodes = level.where(F.lit(False))
-        low = level
+        below = level.where(F.lit(False)).withColumn("leaf", F.lit(None).cast("bigint"))
         while True:
-            nodes = nodes.unionByName(level)
-            hot = level.where("not leaf and not flat").select("t", "g", "cell", F.floor(F.log2(4 / F.col("extent"))).cast("int").alias("lev"))
+            # so fine that its contents, if they fill two directions evenly, make buckets of cap / 4
+            finer = F.pow(F.col("n") * 4.0 / cap, F.lit(1.0 / (2 if m <= 3 else m)))
+            hot = level.where((F.col("n") > cap) & ~F.col("flat")).select("t", "g", "cell", F.floor(F.log2(F.greatest(F.lit(2.0), finer) / F.col("extent"))).cast("int").alias("lev"))
             if hot.isEmpty():
                 break
             self.splits.append(hot)
-            coded = self._finer(coded.join(hot, ["t", "g", "cell"]))
+            coded = coded.join(hot, ["t", "g", "cell"]).withColumn("above", F.col("cell")).withColumn("cell", self.cell(F.col("lev"))).drop("lev")
             level = cut(self._directory(coded, F.col("above")))
-        # the coarser buckets: each level four times as wide
-        up = low.select("*", F.explode(F.sequence(F.lit(1), F.lit(self.steps))).alias("r"))
-        scale = F.pow(F.lit(0.25), F.col("r"))
-        h = [F.floor(F.col("lo")[i] * scale).cast("bigint") for i in range(m)]
-        above = [F.floor(F.col("lo")[i] * scale * 0.25).cast("bigint") for i in range(m)]
-        up = up.withColumn("node", F.xxhash64("t", -2 * F.col("r"), *h)).withColumn("up", F.xxhash64("t", -2 * F.col("r") - 2, *above))
-        coarse = up.groupBy("t", "g", F.col("node").alias("cell"), F.col("up").alias("above")).agg(F.sum("n").alias("n"), *[f(F.col(c)[i]).alias(f"{c}{i}") for i in range(m) for f, c in ((F.min, "lo"), (F.max, "hi"))])
-        coarse = coarse.select("t", "g", "cell", "above", "n", *[_each(m, lambda i: F.col(f"{c}{i}")).alias(c) for c in ("lo", "hi")], F.lit(False).alias("leaf"), F.lit(False).alias("flat"), F.lit(0.0).alias("extent"))
-        first = [F.floor(F.col("lo")[i] * 0.25).cast("bigint") for i in range(m)]
-        nodes = nodes.withColumn("above", F.coalesce("above", F.xxhash64("t", F.lit(-2), *first)))
-        self.nodes = cut(nodes.unionByName(coarse).drop("extent"))
+            below = below.unionByName(level.withColumn("leaf", F.when((F.col("n") <= cap) | F.col("flat"), F.col("cell"))))
+        # the wider buckets, each twice as wide as the one before; a leaf is the widest of at most cap vectors
+        up = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.top))).alias("r"))
+
+        def at(r: Column) -> Column:
+            return F.xxhash64("t", (-r).cast("int"), *[F.floor(F.col("lo")[i] * F.pow(F.lit(2.0), -r)).cast("bigint") for i in range(m)])
+
+        up = up.withColumn("node", at(F.col("r"))).withColumn("above", at(F.col("r") + 1))
+        up = up.withColumn("held", F.sum("n").over(W.partitionBy("t", "g", "node")))
+        small = (F.col("held") <= cap) | (F.col("flat") & (F.col("r") == 0))
+        up = up.withColumn("widest", F.max(F.when(small, F.struct("r", "node"))).over(W.partitionBy("t", "g", "cell")))
+        up = cut(up)
+        self.homes = up.where("r = 0").select("t", "g", "cell", F.col("widest.r").alias("wide"), F.col("widest.node").alias("leaf"))
+        wide = up.groupBy("t", "g", F.col("node").alias("cell"), "above").agg(F.sum("n").alias("n"), F.bool_or(F.col("flat") & (F.col("r") == 0)).alias("flat"), F.first(F.when(small, F.col("widest.node")), True).alias("leaf"), *[f(F.col(c)[i]).alias(f"{c}{i}") for i in range(m) for f, c in ((F.min, "lo"), (F.max, "hi"))])
+        wide = wide.select("t", "g", "cell", "above", "n", *[_each(m, lambda i: F.col(f"{c}{i}")).alias(c) for c in ("lo", "hi")], "flat", "leaf")
+        self.nodes = cut(wide.unionByName(below.drop("extent")))
 
     def _projected(self, rows: DataFrame) -> DataFrame:
         """A row for each table t, with the projections p and the offsets; vectors of many dimensions by one matrix product a batch."""
@@ -208,67 +213,71 @@ class _Tables:
     def cell(self, lev: Column) -> Column:
         return F.xxhash64("t", lev.cast("int"), *[F.floor(F.col("u")[i] * F.pow(F.lit(2.0), lev)).cast("bigint") for i in range(self.m)])
 
-    def _finer(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("above", F.col("cell")).withColumn("cell", self.cell(F.col("lev"))).withColumn("at", F.col("lev")).drop("lev")
-
     def _directory(self, coded: DataFrame, above: Column) -> DataFrame:
         d = coded.withColumn("above", above).groupBy("t", "g", "cell", "above").agg(F.count("*").alias("n"), *[f(F.col("u")[i]).alias(f"{c}{i}") for i in range(self.m) for f, c in ((F.min, "lo"), (F.max, "hi"))])
         extent = F.greatest(F.lit(0.0), *[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(self.m)])
         d = d.select("t", "g", "cell", "above", "n", *[_each(self.m, lambda i: F.col(f"{c}{i}")).alias(c) for c in ("lo", "hi")], extent.alias("extent"))
-        flat = F.col("extent") <= _FLAT
-        return d.withColumn("leaf", (F.col("n") <= self.cap) | flat).withColumn("flat", flat & (F.col("n") > self.cap))
+        return d.withColumn("flat", (F.col("extent") <= _FLAT) & (F.col("n") > self.cap))
 
     def placed(self, df: DataFrame) -> DataFrame:
         """Adds the leaf of each row of ``coded`` and how far its borders are at least (margin)."""
-        d = df.withColumn("cell", self.cell(F.lit(0))).withColumn("at", F.lit(0))
+        d = df.withColumn("cell", self.cell(F.lit(0))).join(self.homes, ["t", "g", "cell"], "left")
+        d = d.withColumn("at", -F.coalesce("wide", F.lit(0))).drop("wide")
         for hot in self.splits:
             d = d.join(hot, ["t", "g", "cell"], "left")
             d = d.withColumn("cell", F.when(F.col("lev").isNull(), F.col("cell")).otherwise(self.cell(F.col("lev")))).withColumn("at", F.coalesce("lev", "at")).drop("lev")
         scale = F.pow(F.lit(2.0), F.col("at"))
         part = [F.col("u")[i] * scale - F.floor(F.col("u")[i] * scale) for i in range(self.m)]
         border = [F.least(f, 1 - f) for f in part]
-        return d.withColumn("margin", (F.least(*border) if self.m > 1 else border[0]) * F.col("w") / scale)
+        margin = (F.least(*border) if self.m > 1 else border[0]) * F.col("w") / scale
+        d = d.withColumn("margin", F.when(F.col("at") == -self.top, F.lit(float("inf"))).otherwise(margin))
+        return d.withColumn("cell", F.coalesce("leaf", "cell")).drop("leaf")
 
-    def reach(self, opened: DataFrame, bounds: bool, home: str = "home") -> DataFrame:
+    def reach(self, opened: DataFrame) -> DataFrame:
         """(t, g, q, cell, score): the leaves of every table within the reach of each query, but for its home.
 
-        ``opened``: (g, q, x, k, reach2, home). Queries start at the bucket that is at
-        least four times as wide as their reach, and go down by what lies within it.
-        ``bounds``: a bucket of more than k vectors bounds the reach by its far corner.
+        ``opened``: (g, q, x, k, reach2, home). A query without k candidates takes the far
+        corner of the bucket above its home as reach. Queries start at buckets about as
+        wide as their reach, and go down by what lies within it; a bucket of more than k
+        vectors then bounds the reach by its far corner.
         """
-        d = self.coded(opened).withColumn("ru", F.sqrt("reach2") * (1 + 1e-9) / F.col("w") + 1e-12)
-        r = F.when(F.col("reach2") == float("inf"), F.lit(self.steps)).otherwise(F.least(F.lit(self.steps), F.greatest(F.lit(0), F.ceil(F.log2(4 * F.col("ru")) / 2)))).cast("int")
-        d = d.withColumn("r", r)
-        scale = F.pow(F.lit(0.25), F.col("r"))
+        d = self.coded(opened)
+        lost = d.where((F.col("reach2") == float("inf")) & (F.col("t") == 0))
+        up = self.nodes.where("t = 0").select("g", F.col("cell").alias("home"), F.col("above").alias("cell")).join(self.nodes.where("t = 0").select("g", "cell", "lo", "hi"), ["g", "cell"]).drop("cell")
+        far = lost.join(up, ["g", "home"]).select("g", "q", (self._far2() * (1 + 1e-9) + 1e-24).alias("far2"))
+        d = d.join(far, ["g", "q"], "left").withColumn("reach2", F.least("reach2", F.coalesce("far2", F.lit(float("inf"))))).drop("far2")
+        d = d.withColumn("ru", F.sqrt("reach2") * (1 + 1e-9) / F.col("w") + 1e-12)
+        each = 0.5 if self.m <= 3 else 4.0
+        d = d.withColumn("r", F.when(F.col("reach2") == float("inf"), F.lit(self.top)).otherwise(F.least(F.lit(self.top), F.greatest(F.lit(0), F.ceil(F.log2(each * F.col("ru")))))).cast("int"))
         for i in range(self.m):
-            ends = [F.when(F.col("r") == self.steps, F.lit(0)).otherwise(F.floor((F.col("u")[i] + s * F.col("ru")) * scale)).cast("bigint") for s in (-1, 1)]
+            ends = [F.when(F.col("r") == self.top, F.lit(0)).otherwise(F.floor((F.col("u")[i] + s * F.col("ru")) * F.pow(F.lit(2.0), -F.col("r")))).cast("bigint") for s in (-1, 1)]
             d = d.withColumn(f"h{i}", F.explode(F.sequence(*ends)))
-        d = d.withColumn("cell", F.xxhash64("t", (-2 * F.col("r")).cast("int"), *[f"h{i}" for i in range(self.m)]))
-        keep = ["t", "g", "q", "k", "u", "w", "reach2", home]
-        front = self._within(d.select(*keep, "cell").join(self.nodes, ["t", "g", "cell"]), bounds and self.steps > 0)
-        leaves = front.where("leaf")
-        front = front.where("not leaf")
+        d = d.withColumn("cell", F.xxhash64("t", (-F.col("r")).cast("int"), *[f"h{i}" for i in range(self.m)]))
+        keep = ["t", "g", "q", "k", "u", "w", "reach2", "home"]
+        front = self._within(d.select(*keep, "cell").join(self.nodes, ["t", "g", "cell"]), False)
+        leaves = front.where("leaf is not null")
+        front = front.where("leaf is null")
         down = self.nodes.withColumnRenamed("cell", "child").withColumnRenamed("above", "cell")
         while not front.isEmpty():
-            front = self._within(front.select(*keep, "cell").join(down, ["t", "g", "cell"]).drop("cell").withColumnRenamed("child", "cell"), bounds)
-            leaves = leaves.unionByName(front.where("leaf"))
-            front = front.where("not leaf")
-        return leaves.where((F.col("t") != 0) | (F.col("cell") != F.col(home))).select("t", "g", "q", "cell", "score")
+            front = self._within(front.select(*keep, "cell").join(down, ["t", "g", "cell"]).drop("cell").withColumnRenamed("child", "cell"), True)
+            leaves = leaves.unionByName(front.where("leaf is not null"))
+            front = front.where("leaf is null")
+        leaves = leaves.where((F.col("t") != 0) | (F.col("leaf") != F.col("home")))
+        return leaves.groupBy("t", "g", "q", F.col("leaf").alias("cell")).agg(F.min("score").alias("score"))
 
-    def _within(self, d: DataFrame, bounds: bool) -> DataFrame:
-        w2 = F.col("w") * F.col("w")
+    def _far2(self) -> Column:
+        """Squared distance to the far corner of a bucket's contents."""
+        ends = [F.greatest(F.abs(F.col("lo")[i] - F.col("u")[i]), F.abs(F.col("u")[i] - F.col("hi")[i])) for i in range(self.m)]
+        return _total(self.m, lambda i: ends[i] * ends[i]) * F.col("w") * F.col("w")
 
+    def _within(self, d: DataFrame, bounds: bool) -> DataFrame:
         def outside(i: int) -> Column:
             v = F.greatest(F.lit(0.0), F.col("lo")[i] - F.col("u")[i], F.col("u")[i] - F.col("hi")[i])
             return v * v
 
-        def far(i: int) -> Column:
-            v = F.greatest(F.abs(F.col("lo")[i] - F.col("u")[i]), F.abs(F.col("u")[i] - F.col("hi")[i]))
-            return v * v
-
-        d = d.withColumn("score", _total(self.m, outside) * w2)
+        d = d.withColumn("score", _total(self.m, outside) * F.col("w") * F.col("w"))
         if bounds:
-            corner = F.min(F.when(F.col("n") > F.col("k"), _total(self.m, far) * w2 * (1 + 1e-9) + 1e-24)).over(W.partitionBy("t", "g", "q"))
+            corner = F.min(F.when(F.col("n") > F.col("k"), self._far2() * (1 + 1e-9) + 1e-24)).over(W.partitionBy("t", "g", "q"))
             d = d.withColumn("reach2", F.least("reach2", F.coalesce(corner, F.lit(float("inf")))))
         d = d.where(F.col("score") <= F.col("reach2") * (1 + 1e-9) + 1e-24)
         return cut(d.select("t", "g", "q", "k", "u", "w", "reach2", "home", "cell", "leaf", "score"))
@@ -340,7 +349,7 @@ def nearest(
     closed = state.where(F.size("x") == 0).select("g", "q", pairs).select("g", "q", "c.id", "c.d2")
     limit2 = F.when(F.size("d2s") >= F.col("k"), F.element_at("d2s", -1)).otherwise(F.lit(float("inf")))
     opened = state.where(F.size("x") > 0).select("g", "q", "x", "k", limit2.alias("limit2"), F.col("cell").alias("home"), "d2s", "ids")
-    leaves = tree.reach(opened.select("g", "q", "x", "k", (F.col("limit2") * factor).alias("reach2"), "home"), True)
+    leaves = tree.reach(opened.select("g", "q", "x", "k", (F.col("limit2") * factor).alias("reach2"), "home"))
     by_q = W.partitionBy("g", "q")
     if m == dim and probes is None:  # one table is enough: that with the fewest buckets to visit
         fewest = F.array_sort(F.array(*[F.struct(F.count_if(F.col("t") == t).over(by_q).alias("n"), F.lit(t).alias("t")) for t in range(tables)]))[0]
