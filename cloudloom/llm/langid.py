@@ -91,7 +91,7 @@ def plain_words(text: str) -> list[str]:
 
 def word_features(word: str, dim: int) -> np.ndarray:
     """Hashed 1- to 4-grams of a word with its ends, and the word itself."""
-    b = np.frombuffer(f"<{word[:40]}>".encode("utf-8", "replace"), np.uint8).astype(np.uint64)
+    b = np.frombuffer(f"<{word}>".encode("utf-8", "replace"), np.uint8).astype(np.uint64)
     out, h = [], np.zeros(len(b), np.uint64)
     with np.errstate(over="ignore"):
         for n in range(1, 5):
@@ -206,18 +206,33 @@ def train(labelled: Sequence[tuple[str, str]], dim: int = 1 << 15, bits: int = 3
     return model
 
 
-def sample_labelled(docs: DataFrame, sample_docs: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """(language, prose segment) of about ``sample_docs`` labelled documents, spread by hash."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = labelled.select(lang).count()
-    step = max(1, n // max(sample_docs, 1))
-    rows = labelled.where(F.pmod(F.xxhash64(doc_id), F.lit(step)) == 0).select(lang, text)
-    out = []
-    for lang_, text_ in rows.limit(2 * sample_docs).toLocalIterator():
-        code = label_code(lang_)
-        if code in NAMES:
-            out += [(code, s) for _, body in markdown_cells(text_) for s in segments(body)]
-    return out
+def sample_labelled(docs: DataFrame, sample_docs: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_words: int = 400) -> list[tuple[str, str]]:
+    """(language, prose segment) of the ``sample_docs`` labelled documents with the least hashes.
+
+    Prose is cut out on the workers; of a document at most ``sample_words`` words come, in
+    whole segments of up to as many, so that the sample is bounded in bytes too. The bound is the
+    training's alone: every document is decoded whole.
+    """
+    h = F.xxhash64(doc_id)
+    known = docs.where(F.col(lang).isNotNull())
+    last = known.select(h.alias("h")).orderBy("h").limit(max(sample_docs, 1)).agg(F.max("h")).first()[0]  # reads ids and labels
+    if last is None:
+        return []
+
+    def prose(batches):
+        for b in batches:
+            out = []
+            for t, name in zip(*(b.column(i).to_pylist() for i in range(2))):
+                code, left = label_code(name), sample_words
+                for s in (s for _, body in markdown_cells(t or "") for s in segments(body)) if code in NAMES else ():
+                    w = _LETTERS.findall(s)[:left]
+                    left -= len(w)
+                    out += [(code, " ".join(w))] if w else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["lang", "segment"])
+
+    rows = known.where(h <= last).select(text, lang).mapInArrow(prose, "lang string, segment string")
+    return [(r[0], r[1]) for r in rows.collect()]
 
 
 def cell_languages(model: EcocModel, body: str, sure: float = 0.5, least_words: int = 8) -> list[tuple[int, str, float, bool, bool]]:

@@ -6,7 +6,7 @@ in common. Corpus fingerprints are joined with those of the items, every hit is
 extended to the maximal shared run, and runs of n words that stand in more than one
 item do not count.
 
-Few items (at most ``broadcast_items``, which is checked) travel to the corpus: one
+Few items (at most ``broadcast_items`` and ``broadcast_bytes``, which is checked) travel to the corpus: one
 pass over the documents, no shuffle of texts. More items are joined by fingerprint
 with a shuffle; both ways give the same rows.
 """
@@ -22,8 +22,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cloudloom.plans.sizing import small_enough
-
 #: A word is a maximal run of letters or digits.
 WORD = re.compile(r"[^\W_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -133,7 +131,7 @@ class ItemIndex:
 _OUT = "doc_id bigint, item_id bigint, run_words int, at_word int"
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, n: int = 12, k: int = 8, broadcast_items: int = 20_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, n: int = 12, k: int = 8, broadcast_items: int = 20_000, broadcast_bytes: int = 64 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, run_words, at_word): for each document and leaked item the longest run.
 
     Words are maximal runs of letters or digits, case ignored, across any markup that
@@ -144,7 +142,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 12, k: int = 8, broad
         raise ValueError("k-grams must not be longer than the runs they find")
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     items = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("item_text")).where(F.col("item_text").isNotNull())
-    if not small_enough(items, broadcast_items):
+    size = items.select(F.octet_length("item_text").alias("b")).limit(broadcast_items + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    if size[0] > broadcast_items or size[1] > broadcast_bytes:
         return _joined(docs, items, n, k)
     shipped = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.distinct().collect()])
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("run_words", pa.int32()), ("at_word", pa.int32())])
@@ -187,19 +186,27 @@ def fingerprints(df: DataFrame, key: str, text: str, n: int, k: int) -> DataFram
 
 
 def _joined(docs: DataFrame, items: DataFrame, n: int, k: int) -> DataFrame:
-    """The way without broadcast: candidate pairs by fingerprint, then each pair is extended."""
-    items = items.distinct()
-    pairs = fingerprints(docs, "doc_id", "text", n, k).join(fingerprints(items, "item_id", "item_text", n, k), "fp").select("doc_id", "item_id").distinct()
+    """The way without broadcast: candidate pairs of texts by fingerprint, then each pair is extended.
+
+    Texts are keyed by their hash, so documents with null or repeated ids and items of
+    several texts stay apart; a shared hash only makes one more pair to extend.
+    """
+    docs = docs.withColumn("dh", F.xxhash64("text"))
+    items = items.distinct().withColumn("ih", F.xxhash64("item_text"))
+    pairs = fingerprints(docs.select("dh", "text"), "dh", "text", n, k).join(fingerprints(items.select("ih", "item_text"), "ih", "item_text", n, k), "fp").select("dh", "ih").distinct()
+    schema = pa.schema([("item_id", pa.int64()), ("ih", pa.int64()), ("run", pa.binary()), ("at", pa.int32())])
 
-    @F.udf("array<struct<run:binary,at:int>>")
-    def runs(t):
-        h = np.fromiter(map(word_hash, words(t)), np.uint64)
-        return [(h[s : s + n].tobytes(), s) for s in range(len(h) - n + 1)]
+    def runs(batches):
+        for b in batches:
+            for i, ih, t in zip(*(b.column(j).to_pylist() for j in range(3))):
+                h = np.fromiter(map(word_hash, words(t)), np.uint64)
+                m = max(len(h) - n + 1, 0)
+                yield pa.RecordBatch.from_arrays([pa.array([i] * m, pa.int64()), pa.array([ih] * m, pa.int64()), pa.array([h[s : s + n].tobytes() for s in range(m)], pa.binary()), pa.array(range(m), pa.int32())], schema=schema)
 
-    each = items.select("item_id", F.explode(runs("item_text")).alias("r")).select("item_id", "r.run", "r.at")
+    each = items.where(F.col("item_id").isNotNull()).select("item_id", "ih", "item_text").mapInArrow(runs, "item_id bigint, ih bigint, run binary, at int")
     shared = each.groupBy("run").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a < b").select("run")
-    common = each.join(shared, "run", "left_semi").groupBy("item_id").agg(F.collect_set("at").alias("common"))
-    side = items.join(common, "item_id", "left")
+    common = each.join(shared, "run", "left_semi").groupBy("item_id", "ih").agg(F.collect_set("at").alias("common"))
+    side = items.where(F.col("item_id").isNotNull()).join(common, ["item_id", "ih"], "left")
 
     @F.pandas_udf("struct<run_words:int,at_word:int>")
     def extend(t: pd.Series, item: pd.Series, common: pd.Series) -> pd.DataFrame:
@@ -213,5 +220,5 @@ def _joined(docs: DataFrame, items: DataFrame, n: int, k: int) -> DataFrame:
             out.append(best or (None, None))
         return pd.DataFrame(out, columns=["run_words", "at_word"]).astype("Int32")
 
-    checked = pairs.join(docs, "doc_id").join(side, "item_id").select("doc_id", "item_id", extend("text", "item_text", "common").alias("m"))
+    checked = pairs.join(docs, "dh").join(side, "ih").select("doc_id", "item_id", extend("text", "item_text", "common").alias("m"))
     return _longest(checked.select("doc_id", "item_id", "m.*").where(F.col("run_words").isNotNull()))

@@ -1,7 +1,7 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
-Each source has a weight schedule over training time t in [0, 1]. Its integral is
-the source's cumulative token demand; inverting it at a document's cumulative token
+Each source has a weight schedule over training time t in [0, 1], given as a table of
+knots or made from the sources' sizes. Its integral is the source's cumulative token demand; inverting it at a document's cumulative token
 count gives the document's position, and documents are range-sorted by position.
 
 The cumulative counts come from a two-level prefix sum: documents fall into hash
@@ -81,41 +81,80 @@ def plan_tokens(targets: Sequence[tuple[str, float, int]], have: Mapping[str, in
     return out
 
 
-def inverse_demand(u: Column, tilt: Column) -> Column:
-    """t with t + tilt * (t * t - t) = u: the inverse of the integral of 1 + tilt * (2t - 1)."""
-    root = F.sqrt(F.greatest((1 - tilt) * (1 - tilt) + 4 * tilt * u, F.lit(0.0)))
-    return F.when(F.abs(tilt) < 1e-9, u).otherwise(2 * u / ((1 - tilt) + root))
+def demand_knots(schedule: Sequence[tuple[float, float]]) -> list[tuple[float, float, float]]:
+    """(t, weight, cumulative demand) of a piecewise linear weight schedule over [0, 1], scaled to a demand of 1.
 
+    Before its first and after its last knot a schedule keeps their weights. Negative
+    weights, times outside [0, 1] and a schedule without any weight are errors.
+    """
+    knots = sorted((float(t), float(w)) for t, w in schedule)
+    if not knots or any(w < 0 or not 0 <= t <= 1 for t, w in knots):
+        raise ValueError("a schedule needs times in [0, 1] and weights of at least 0")
+    if knots[0][0] > 0:
+        knots.insert(0, (0.0, knots[0][1]))
+    if knots[-1][0] < 1:
+        knots.append((1.0, knots[-1][1]))
+    sums = [0.0]
+    for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+        sums.append(sums[-1] + (t1 - t0) * (w0 + w1) / 2)
+    if sums[-1] <= 0:
+        raise ValueError("a schedule needs some weight")
+    return [(t, w / sums[-1], c / sums[-1]) for (t, w), c in zip(knots, sums)]
+
+
+def inverse_demand(u: Column, knots: Column) -> Column:
+    """The time at which the cumulative demand of a schedule (its ``demand_knots``) reaches u: the integral inverted, segment by segment."""
+    a = F.element_at(F.filter(knots, lambda k: k["c"] <= u), -1)
+    b = F.element_at(F.filter(knots, lambda k: k["c"] > u), 1)
+    slope, over = (b["w"] - a["w"]) / (b["t"] - a["t"]), u - a["c"]
+    root = F.sqrt(F.greatest(a["w"] * a["w"] + 2 * slope * over, F.lit(0.0)))
+    return F.when(over <= 0, a["t"]).when(b.isNull(), F.lit(1.0)).otherwise(F.least(b["t"], a["t"] + 2 * over / (a["w"] + root)))
+
+
+def curriculum(plan: Mapping[str, float], have: Mapping[str, int], warm: float) -> dict[str, list[tuple[float, float]]]:
+    """A schedule for each source: weights run linearly from 1 - tilt to 1 + tilt.
+
+    The tilt rises from -warm for the source with most tokens to +warm for the one with
+    fewest, shifted so that the weights of all, times their shares, sum to 1 at any time:
+    scarce sources come late.
+    """
+    share, order = sum(plan.values()) or 1.0, sorted(plan, key=lambda s: (-have[s], s))
+    tilt = {s: warm * (2 * i / max(len(order) - 1, 1) - 1) for i, s in enumerate(order)}
+    mean = sum(plan[s] / share * tilt[s] for s in order)
+    tilt = {s: max(-1.0, min(1.0, t - mean)) for s, t in tilt.items()}
+    return {s: [(0.0, 1 - t), (1.0, 1 + t)] for s, t in tilt.items()}
 
-def draw(docs: DataFrame, targets: DataFrame, tokens: Column, total: int | None = None, warm: float = 0.5, max_sources: int = 10_000, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+
+def draw(docs: DataFrame, targets: DataFrame, tokens: Column, total: int | None = None, warm: float = 0.5, max_sources: int = 10_000, source: str = "source", doc_id: str = "doc_id", schedule: DataFrame | None = None) -> DataFrame:
     """(position, source, doc_id, pass, tokens): the drawn documents along training time.
 
-    Sources are matched by canonical name. The weight of a source runs linearly from
-    share * (1 - tilt) to share * (1 + tilt), where the tilt rises from -warm for the
-    source with most tokens to +warm for the one with fewest and is then shifted so that
-    weights sum to 1 at any time: scarce sources come late, and every source still meets
-    its share overall. A document is drawn in pass p (0, 1, ..., below max_repeats) if its first
-    token falls within the demand of its source. Documents without text have no tokens
-    and are not drawn; null sources and sources without target are left out; a
-    repeated row is a document of its own. ``targets`` must have at most
-    ``max_sources`` rows (checked).
+    Sources are matched by canonical name. ``schedule``: (source, t, weight), knots of a
+    piecewise linear weight over training time t in [0, 1]; a source's weights are scaled to
+    its target share, so that it meets it overall and comes when its weight is high. A source
+    without knots, or all if none is given, follows ``curriculum`` with ``warm``. A document
+    is drawn in pass p (0, 1, ..., below max_repeats) if its first token falls within the
+    demand of its source. Documents without text have no tokens and are not drawn; null
+    sources and sources without target are left out; a repeated row is a document of its own.
+    ``targets`` and ``schedule`` must have at most ``max_sources`` rows (checked).
     """
-    if not small_enough(targets, max_sources):
+    if not small_enough(targets, max_sources) or (schedule is not None and not small_enough(schedule, max_sources)):
         raise ValueError("more sources than max_sources")
-    counted = docs.select(canonical_source(F.col(source)).alias("source"), F.col(doc_id).alias("doc_id"), tokens.cast("bigint").alias("tokens"))
     wanted = targets.select(canonical_source(F.col("source")).alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull())
     rows = wanted.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).collect()
-    counted = cut(counted.where(F.col("source").isin([r[0] for r in rows]) & (F.col("tokens") > 0)))  # counting tokens is the dear part: once
+    ours = docs.where(canonical_source(F.col(source)).isin([r[0] for r in rows]))
+    # tokens are counted once, here: a filter on them before the cut would count them anew
+    counted = cut(ours.select(canonical_source(F.col(source)).alias("source"), F.col(doc_id).alias("doc_id"), tokens.cast("bigint").alias("tokens"))).where("tokens > 0")
     have = {r[0]: r[1] for r in counted.groupBy("source").agg(F.sum("tokens")).collect()}  # one row a target
     plan = plan_tokens([tuple(r) for r in rows], have, total)
     spark = docs.sparkSession
-    share = sum(plan.values()) or 1.0
-    order = sorted(plan, key=lambda s: (-have[s], s))
-    tilt = {s: warm * (2 * i / max(len(order) - 1, 1) - 1) for i, s in enumerate(order)}
-    mean = sum(plan[s] / share * tilt[s] for s in order)
-    tilt = {s: max(-1.0, min(1.0, t - mean)) for s, t in tilt.items()}
-    schema = "source string, demand double, have bigint, tilt double, passes int"
-    plans = spark.createDataFrame([(s, plan[s], have[s], tilt[s], math.ceil(plan[s] / have[s] - 1e-12)) for s in order], schema)
+    times = curriculum(plan, have, warm)
+    if schedule is not None:
+        given: dict[str, list] = {}
+        for r in schedule.select(canonical_source(F.col("source")).alias("source"), F.col("t").cast("double"), F.col("weight").cast("double")).where("source is not null and t is not null and weight is not null").collect():
+            given.setdefault(r[0], []).append((r[1], r[2]))
+        times |= {s: k for s, k in given.items() if s in times}
+    schema = "source string, demand double, have bigint, passes int, knots array<struct<t:double,w:double,c:double>>"
+    plans = spark.createDataFrame([(s, plan[s], have[s], math.ceil(plan[s] / have[s] - 1e-12), demand_knots(times[s])) for s in sorted(plan)], schema)
 
     n = bucket_count(counted)
     salted = counted.join(F.broadcast(plans), "source").withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", F.lit(n)))  # plans: one row a target, checked above
@@ -126,7 +165,7 @@ def draw(docs: DataFrame, targets: DataFrame, tokens: Column, total: int | None
     each = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     u = (F.col("pass") * F.col("have") + F.col("start")) / F.col("demand")
     drawn = each.withColumn("u", u).where(F.col("u") < 1.0)
-    return drawn.select(inverse_demand(F.col("u"), F.col("tilt")).alias("position"), "source", "doc_id", F.col("pass").cast("int").alias("pass"), "tokens")
+    return drawn.select(inverse_demand(F.col("u"), F.col("knots")).alias("position"), "source", "doc_id", F.col("pass").cast("int").alias("pass"), "tokens")
 
 
 def in_order(drawn: DataFrame) -> DataFrame:

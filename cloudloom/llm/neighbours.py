@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cloudloom.plans.durable import cut
 
 _SEED = 20_240_607
+_STEP = 3  # levels that a query goes down at once
 _FLAT = 2.0**-40  # extent, in widths of a bucket, below which it can't be divided
 
 
@@ -65,18 +66,67 @@ def _matrix(c, dim: int) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _ranked(q: np.ndarray, x: np.ndarray, ks: np.ndarray, ids: np.ndarray, y: np.ndarray, limit: np.ndarray, cells: int = 1 << 20):
-    """(row of the query, id, d2, whether it is among the k): in blocks of ``cells`` distances."""
-    step = max(1, cells // max(len(ids), 1))
-    for s in range(0, len(q), step):
-        e = min(s + step, len(q))
-        d2 = np.zeros((e - s, len(ids)))
+def _distances(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Squared distances (n, m), exact; of many dimensions only those of the k best by a matrix product, and their columns."""
+    if x.shape[1] <= 8:
+        d2 = np.zeros((len(x), len(y)))
         for j in range(x.shape[1]):
-            d2 += np.square(x[s:e, j, None] - y[None, :, j])
-        d2[q[s:e, None] == ids[None]] = np.inf
-        k = min(int(ks[s:e].max(initial=1)), len(ids))
-        dk, ik = _top(d2, np.broadcast_to(ids, d2.shape), k)
-        yield s, e, dk, ik, np.isfinite(dk) & (np.arange(k)[None] < ks[s:e, None]) & (dk <= limit[s:e, None])
+            d2 += np.square(x[:, j, None] - y[None, :, j])
+        return d2, None
+    rough = (y * y).sum(1)[None] - 2 * (x @ y.T)
+    few = min(k + 9, len(y))  # one for the query itself, eight for what rounding may swap
+    at = np.sort(np.argpartition(rough, few - 1, axis=1)[:, :few], axis=1)
+    return np.square(x[:, None] - y[at]).sum(2), at
+
+
+def _ranked(q: np.ndarray, x: np.ndarray, ks: np.ndarray, ids: np.ndarray, y: np.ndarray, limit: np.ndarray, cells: int = 1 << 20):
+    """(rows of queries, d2, id, whether it is among the k); ``ids`` ascend. In blocks of ``cells`` distances.
+
+    In few dimensions queries are put into boxes of up to 256, and each box is held against
+    the vectors within the largest reach of its queries only.
+    """
+
+    def block(rows: np.ndarray, some: np.ndarray | None):
+        yi, ii = (y, ids) if some is None else (y[some], ids[some])
+        step = max(1, cells // max(len(ii), 1))
+        for s in range(0, len(rows), step):
+            r = rows[s : s + step]
+            k = min(int(ks[r].max(initial=1)), len(ii))
+            if not k:
+                continue
+            d2, at = _distances(x[r], yi, k)
+            to = np.broadcast_to(ii, (len(r), len(ii))) if at is None else ii[at]
+            d2[q[r, None] == to] = np.inf
+            dk, ik = _top(d2, to, min(k, d2.shape[1]))
+            yield r, dk, ik, np.isfinite(dk) & (np.arange(dk.shape[1])[None] < ks[r, None]) & (dk <= limit[r, None])
+
+    if x.shape[1] > 8 or len(ids) <= 512 or len(q) <= 64:
+        yield from block(np.arange(len(q)), None)
+        return
+    boxes, open_ = [], [np.arange(len(q))]
+    while open_:
+        r = open_.pop()
+        span = np.ptp(x[r], axis=0)
+        if len(r) <= 256 or not span.max() > 0:
+            boxes.append(r)
+            continue
+        order = r[np.argsort(x[r, span.argmax()], kind="stable")]
+        open_ += [order[: len(r) // 2], order[len(r) // 2 :]]
+    for r in boxes:
+        lo, hi = x[r].min(0), x[r].max(0)
+        gap = np.maximum(0, np.maximum(lo - y, y - hi))
+        away = (gap * gap).sum(1)
+        k = int(ks[r].max(initial=1))
+        reach = limit[r].max()
+        if len(ids) > k:  # the nearest k + 1 vectors around the box bound its reach by their far corners
+            near = np.argpartition(away, k)[: k + 1]
+            near = np.concatenate([near, np.flatnonzero(away <= 0)[:512]])
+            first = np.full(len(r), np.inf)
+            for rows, dk, _, good in block(r, np.unique(near)):
+                full = good.sum(1) >= ks[rows]
+                first[np.isin(r, rows)] = np.where(full, np.where(good, dk, 0).max(1), np.inf)
+            reach = min(reach, first.max())
+        yield from block(r, np.flatnonzero(away <= reach * (1 + 1e-9) + 1e-300))
 
 
 _HOME = "g int, cell bigint, q bigint, x array<double>, k int, ids array<bigint>, d2s array<double>"
@@ -95,17 +145,23 @@ def _home(dim: int, group: pa.DataType, factor: float):
         q, ks, margin = ids[asks], t.column("k").to_numpy()[asks], t.column("margin").to_numpy()[asks]
         got, d2s, size = [], [], np.zeros(len(q), np.int64)
         reach = np.full(len(q), np.inf)
-        for s, e, dk, ik, good in _ranked(q, y[asks], ks, ids, y, np.full(len(q), np.inf)):
-            size[s:e] = good.sum(1)
-            full = size[s:e] >= ks[s:e]
-            reach[s:e][full] = dk[np.flatnonzero(full), ks[s:e][full] - 1]
+        order = []
+        for r, dk, ik, good in _ranked(q, y[asks], ks, ids, y, np.full(len(q), np.inf)):
+            size[r] = good.sum(1)
+            full = size[r] >= ks[r]
+            reach[r[full]] = dk[np.flatnonzero(full), ks[r[full]] - 1]
+            order.append(r)
             got.append(ik[good])
             d2s.append(dk[good])
+        o = np.concatenate(order) if order else np.zeros(0, np.int64)
+        if len(o) < len(q):  # those without any other vector
+            o = np.concatenate([o, np.setdiff1d(np.arange(len(q)), o)])
+        asks, q, ks, margin, size, reach = asks[o], q[o], ks[o], margin[o], size[o], reach[o]
         offset = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
         out = np.sqrt(reach * factor) * (1 + 1e-9) + 1e-12 >= margin  # its reach leaves the bucket
         ends = np.append(0, np.cumsum(np.where(out, dim, 0))).astype(np.int32)
         xs = pa.ListArray.from_arrays(pa.array(ends), pa.array(y[asks][out].ravel()))
-        lists = [pa.ListArray.from_arrays(offset, pa.array(np.concatenate(v))) for v in (got, d2s)]
+        lists = [pa.ListArray.from_arrays(offset, pa.array(np.concatenate([*v, np.zeros(0, kind)]))) for v, kind in ((got, np.int64), (d2s, np.float64))]
         n = len(q)
         return pa.Table.from_arrays([t.column("g").slice(0, 1).take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, t.column("cell")[0].as_py())), pa.array(q), xs, pa.array(ks.astype(np.int32)), *lists], schema=schema)
 
@@ -124,7 +180,9 @@ def _visit(dim: int):
             return _FOUND.empty_table()
         places = places.sort_by("to_id")
         q, ks, limit = (queries.column(c).to_numpy() for c in ("q", "k", "limit2"))
-        out = [(q[s:e][np.nonzero(good)[0]], ik[good], dk[good]) for s, e, dk, ik, good in _ranked(q, _matrix(queries.column("x"), dim), ks, places.column("to_id").to_numpy(), _matrix(places.column("to_x"), dim), limit)]
+        out = [(q[r][np.nonzero(good)[0]], ik[good], dk[good]) for r, dk, ik, good in _ranked(q, _matrix(queries.column("x"), dim), ks, places.column("to_id").to_numpy(), _matrix(places.column("to_x"), dim), limit)]
+        if not out:
+            return _FOUND.empty_table()
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_FOUND)
 
     return run
@@ -150,12 +208,12 @@ class _Tables:
         bounds = [f(F.col("p")[i]).alias(f"{n}{i}") for i in range(m) for f, n in ((F.min, "lo"), (F.max, "hi"))]
         s = p.groupBy("t", "g").agg(F.count("*").alias("n"), *bounds)
         span = F.greatest(F.lit(0.0), *[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(m)])
-        # buckets of cap / 64 where the directions are filled evenly; small ones are put together below
-        parts = F.greatest(F.lit(1.0), F.floor(F.pow(F.col("n") * 64.0 / cap, F.lit(1.0 / m))))
+        # buckets of cap / 16 where the directions are filled evenly; small ones are put together below
+        parts = F.greatest(F.lit(1.0), F.floor(F.pow(F.col("n") * 16.0 / cap, F.lit(1.0 / m))))
         s = s.withColumn("parts", parts).withColumn("w", F.when(span > 0, span / F.col("parts") * (1 + 1e-9)).otherwise(F.lit(1.0)))
         self.stats = cut(s.select("t", "g", "parts", "w", _each(m, lambda i: F.col(f"lo{i}")).alias("base")))
         widest = self.stats.agg(F.max("parts")).first()[0] or 1.0
-        self.top = int(np.ceil(np.log2(widest + 2)))  # so many times twice as wide until one bucket holds a group
+        self.top = _STEP * int(np.ceil(np.log2(widest + 2) / _STEP))  # so many times twice as wide until one bucket holds a group
 
         coded = self.coded(rows).withColumn("cell", self.cell(F.lit(0)))
         base = level = cut(self._directory(coded, F.lit(None).cast("bigint")))
@@ -177,15 +235,15 @@ class _Tables:
         def at(r: Column) -> Column:
             return F.xxhash64("t", (-r).cast("int"), *[F.floor(F.col("lo")[i] * F.pow(F.lit(2.0), -r)).cast("bigint") for i in range(m)])
 
-        up = up.withColumn("node", at(F.col("r"))).withColumn("above", at(F.col("r") + 1))
+        up = up.withColumn("node", at(F.col("r"))).withColumn("above", at(F.col("r") + 1)).withColumn("over", F.when(F.col("r") % _STEP == 0, at(F.col("r") + _STEP)))
         up = up.withColumn("held", F.sum("n").over(W.partitionBy("t", "g", "node")))
         small = (F.col("held") <= cap) | (F.col("flat") & (F.col("r") == 0))
         up = up.withColumn("widest", F.max(F.when(small, F.struct("r", "node"))).over(W.partitionBy("t", "g", "cell")))
         up = cut(up)
         self.homes = up.where("r = 0").select("t", "g", "cell", F.col("widest.r").alias("wide"), F.col("widest.node").alias("leaf"))
-        wide = up.groupBy("t", "g", F.col("node").alias("cell"), "above").agg(F.sum("n").alias("n"), F.bool_or(F.col("flat") & (F.col("r") == 0)).alias("flat"), F.first(F.when(small, F.col("widest.node")), True).alias("leaf"), *[f(F.col(c)[i]).alias(f"{c}{i}") for i in range(m) for f, c in ((F.min, "lo"), (F.max, "hi"))])
-        wide = wide.select("t", "g", "cell", "above", "n", *[_each(m, lambda i: F.col(f"{c}{i}")).alias(c) for c in ("lo", "hi")], "flat", "leaf")
-        self.nodes = cut(wide.unionByName(below.drop("extent")))
+        wide = up.groupBy("t", "g", F.col("node").alias("cell"), "above", "over").agg(F.sum("n").alias("n"), F.bool_or(F.col("flat") & (F.col("r") == 0)).alias("flat"), F.first(F.when(small, F.col("widest.node")), True).alias("leaf"), *[f(F.col(c)[i]).alias(f"{c}{i}") for i in range(m) for f, c in ((F.min, "lo"), (F.max, "hi"))])
+        wide = wide.select("t", "g", "cell", "above", "over", "n", *[_each(m, lambda i: F.col(f"{c}{i}")).alias(c) for c in ("lo", "hi")], "flat", "leaf")
+        self.nodes = cut(wide.unionByName(below.drop("extent").withColumn("over", F.col("above"))))
 
     def _projected(self, rows: DataFrame) -> DataFrame:
         """A row for each table t, with the projections p and the offsets; vectors of many dimensions by one matrix product a batch."""
@@ -248,7 +306,7 @@ class _Tables:
         d = d.join(far, ["g", "q"], "left").withColumn("reach2", F.least("reach2", F.coalesce("far2", F.lit(float("inf"))))).drop("far2")
         d = d.withColumn("ru", F.sqrt("reach2") * (1 + 1e-9) / F.col("w") + 1e-12)
         each = 0.5 if self.m <= 3 else 4.0
-        d = d.withColumn("r", F.when(F.col("reach2") == float("inf"), F.lit(self.top)).otherwise(F.least(F.lit(self.top), F.greatest(F.lit(0), F.ceil(F.log2(each * F.col("ru")))))).cast("int"))
+        d = d.withColumn("r", F.when(F.col("reach2") == float("inf"), F.lit(self.top)).otherwise(F.least(F.lit(self.top), F.greatest(F.lit(0), _STEP * F.ceil(F.log2(each * F.col("ru")) / _STEP)))).cast("int"))
         for i in range(self.m):
             ends = [F.when(F.col("r") == self.top, F.lit(0)).otherwise(F.floor((F.col("u")[i] + s * F.col("ru")) * F.pow(F.lit(2.0), -F.col("r")))).cast("bigint") for s in (-1, 1)]
             d = d.withColumn(f"h{i}", F.explode(F.sequence(*ends)))
@@ -257,7 +315,7 @@ class _Tables:
         front = self._within(d.select(*keep, "cell").join(self.nodes, ["t", "g", "cell"]), False)
         leaves = front.where("leaf is not null")
         front = front.where("leaf is null")
-        down = self.nodes.withColumnRenamed("cell", "child").withColumnRenamed("above", "cell")
+        down = self.nodes.drop("above").withColumnRenamed("cell", "child").withColumnRenamed("over", "cell")
         while not front.isEmpty():
             front = self._within(front.select(*keep, "cell").join(down, ["t", "g", "cell"]).drop("cell").withColumnRenamed("child", "cell"), True)
             leaves = leaves.unionByName(front.where("leaf is not null"))
@@ -310,7 +368,7 @@ def nearest(
     queries: Column | None = None,
     tables: int = 2,
     projections: int = 3,
-    cap: int = 1024,
+    cap: int = 4096,
     probes: int | None = None,
     slack: float = 2.0,
     batch: int = 8,

@@ -44,6 +44,15 @@ def test_both_ways_match_brute_force(spark):
         assert sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted(want)
 
 
+def test_null_and_repeated_ids_both_ways(spark):
+    t = [" ".join(f"{c}{k}" for k in range(20)) for c in "abc"]
+    d = spark.createDataFrame([(None, "x " + t[0]), (1, t[1] + " y"), (1, t[0])], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, t[0]), (7, t[1]), (8, t[2]), (None, t[2])], "item_id bigint, text string")
+    for most in (20_000, 1):
+        assert {(r.doc_id, r.item_id) for r in L.find_leaks(d, i, broadcast_items=most).collect()} == {(None, 7), (1, 7)}
+    assert L.find_leaks(d, i, broadcast_bytes=1).count() == 2
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     i = spark.createDataFrame([(1, " ".join(f"a{k}" for k in range(20)))], "item_id bigint, text string")

@@ -29,9 +29,36 @@ def test_plan_fills_up_to_caps():
 
 
 def test_inverse_demand_is_the_inverse(spark):
-    t = spark.range(11).select((F.col("id") / 10).alias("t")).crossJoin(spark.createDataFrame([(-0.9,), (0.0,), (0.4,)], "k double"))
-    u = F.col("t") + F.col("k") * (F.col("t") * F.col("t") - F.col("t"))
-    assert all(abs(r.t - r.b) < 1e-9 for r in t.select("t", M.inverse_demand(u, F.col("k")).alias("b")).collect())
+    for knots in ([(0.0, 1.9), (1.0, 0.1)], [(0.0, 1.0)], [(0.2, 0.0), (0.5, 3.0), (0.9, 1.0)], [(0.0, 0.0), (0.4, 0.0), (0.6, 1.0)]):
+        k = M.demand_knots(knots)
+        t = np.linspace(0, 1, 2001)
+        w = np.interp(t, [x[0] for x in k], [x[1] for x in k])
+        c = np.append(0, np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(t)))
+        rows = spark.createDataFrame([(float(x), k) for x in (0.0, 0.1, 0.37, 0.5, 0.8, 0.999)], "u double, k array<struct<t:double,w:double,c:double>>")
+        for r in rows.select("u", M.inverse_demand(F.col("u"), F.col("k")).alias("t")).collect():
+            assert abs(np.interp(r.t, t, c) - r.u) < 1e-4
+
+
+def test_given_schedule_sets_the_time(spark):
+    d = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(400)], "doc_id bigint, source string, n bigint")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    s = spark.createDataFrame([("A ", 0.0, 1.0), ("a", 0.5, 0.0), ("b", 0.5, 0.0), ("b", 1.0, 1.0)], "source string, t double, weight double")
+    rows = M.draw(d, t, F.col("n"), schedule=s).collect()
+    assert sum(r.source == "a" for r in rows) == sum(r.source == "b" for r in rows) == 200
+    assert all(r.position <= 0.5 for r in rows if r.source == "a") and all(r.position >= 0.5 for r in rows if r.source == "b")
+
+
+def test_shares_of_real_tokens(spark):
+    from collections import Counter
+
+    from cloudloom.llm import queries as Q
+
+    got = {r.source: r for r in Q.p7_shares(spark, "/root/testdata/sf0.001").collect()}
+    drawn = Counter()
+    for r in Q.p7_mix(spark, "/root/testdata/sf0.001").collect():
+        drawn[r.source] += r.tokens
+    assert {s: r.tokens for s, r in got.items() if r.tokens} == dict(drawn)
+    assert all(abs(r.actual_share - drawn[s] / sum(drawn.values())) < 1e-12 for s, r in got.items())
 
 
 def test_empty(spark):
