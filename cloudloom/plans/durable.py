@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that setting is
-    absent (tests, one machine) a folder of this machine is used.
+    absent on one machine (tests) a folder of it is used, which goes with the process; a
+    cluster without it is an error. ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    removes what is no longer in use.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -20,7 +24,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cloudloom-ckpt-"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="cloudloom-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

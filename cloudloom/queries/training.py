@@ -35,7 +35,9 @@ def p3_unified(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "sweep_records")
     prof = drift.profile(records)
     out = drift.unify(records, drift.routes(prof, drift.migrations(prof)), ["series", "run_no", "rec_no"])
-    return out.select("series", "run_no", "rec_no", F.explode("values").alias("field", "value")).distinct()
+    each = out.select("series", "run_no", "rec_no", F.explode("values").alias("field", "value"), "numbers", "flags", "casts")
+    was_cast = F.exists("casts", lambda c: c.startswith(F.concat("field", F.lit(": "))))
+    return each.select("series", "run_no", "rec_no", "field", "value", F.element_at("numbers", F.col("field")).alias("number"), F.element_at("flags", F.col("field")).alias("flag"), was_cast.alias("was_cast")).distinct()
 
 
 FEED_KEYS = ["scene_id", "phoxoid_id"]
