@@ -208,9 +208,12 @@ def fingerprints(prof: DataFrame) -> DataFrame:
 def _vocabulary(prof: DataFrame, wanted: DataFrame) -> DataFrame:
     """(series, field, types, vocab, builds, kinds) over all runs of the wanted fields: least hashes, each bounded by ``SKETCH``."""
     some = prof.where(F.col("field").isNotNull() & (F.size("types") > 0)).join(wanted, ["series", "field"], "left_semi")
-    tagged = F.concat(*[F.transform(F.col(c).cast("array<bigint>"), lambda v, tag=tag: F.struct(F.lit(tag).alias("tag"), v.alias("v"))) for tag, c in enumerate(("tokens", "builds", "kinds"))])
+
+    def tagged(tag: int, c: str) -> Column:
+        return F.transform(F.col(c).cast("array<bigint>"), lambda v: F.struct(F.lit(tag).alias("tag"), v.alias("v")))
+
     key = ["series", "field", "types"]
-    one = some.select(*key, F.explode(tagged).alias("e")).select(*key, "e.tag", "e.v").distinct()
+    one = some.select(*key, F.explode(F.concat(*[tagged(t, c) for t, c in enumerate(("tokens", "builds", "kinds"))])).alias("e")).select(*key, "e.tag", "e.v").distinct()
     least = one.withColumn("n", F.row_number().over(W.partitionBy(*key, "tag").orderBy("v"))).where(F.col("n") <= SKETCH)
     return least.groupBy(*key).agg(*[F.array_sort(F.collect_list(F.when(F.col("tag") == t, F.col("v")))).alias(c) for t, c in enumerate(("vocab", "builds", "kinds"))])
 
@@ -302,9 +305,9 @@ def routes(prof: DataFrame, steps: DataFrame) -> DataFrame:
     canonical field agree on it, else string.
     """
     p = prof.where(F.col("field").isNotNull()).select("series", "run_no", "field", "types")
-    at = prof.where(F.col("field").isNull()).select("series", "run_no", F.row_number().over(W.partitionBy("series").orderBy("run_no")).alias("at"))
+    at = prof.where(F.col("field").isNull()).select(F.col("series").alias("__s"), F.col("run_no").alias("__r"), F.row_number().over(W.partitionBy("series").orderBy("run_no")).alias("at"))
     w = W.partitionBy("series", "field").orderBy("run_no")
-    p = p.join(at, (p["series"].eqNullSafe(at["series"])) & (p["run_no"].eqNullSafe(at["run_no"])), "inner").select(p["series"], p["run_no"], "field", "types", "at")
+    p = p.join(at, F.col("series").eqNullSafe(F.col("__s")) & F.col("run_no").eqNullSafe(F.col("__r"))).drop("__s", "__r")
     p = p.withColumn("gap", F.coalesce(F.col("at") - F.lag("at").over(w), F.lit(0)) != 1)
     p = cut(p.withColumn("born", F.last(F.when(F.col("gap"), F.col("run_no")), ignorenulls=True).over(w)).drop("gap"))
     lives = p.select("series", "field", "born").distinct()
@@ -314,9 +317,9 @@ def routes(prof: DataFrame, steps: DataFrame) -> DataFrame:
     own = F.struct(F.col("field").alias("old"), F.col("born").alias("old_born"))
     chain = cut(lives.join(parents, ["series", "field", "born"], "left").select("series", "field", "born", F.coalesce("up", own).alias("up")))
     while True:
-        there = chain.select("series", F.col("field").alias("f"), F.col("born").alias("b"), F.col("up").alias("next"))
-        jumped = chain.join(there, (chain["series"] == there["series"]) & (F.col("up.old") == F.col("f")) & (F.col("up.old_born") == F.col("b"))).select(chain["series"], "field", "born", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("far"))
-        jumped = cut(jumped)
+        there = chain.select(F.col("series").alias("s"), F.col("field").alias("f"), F.col("born").alias("b"), F.col("up").alias("next"))
+        same = F.col("series").eqNullSafe(F.col("s")) & (F.col("up.old") == F.col("f")) & F.col("up.old_born").eqNullSafe(F.col("b"))
+        jumped = cut(chain.join(there, same).select("series", "field", "born", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("far")))
         chain = jumped.drop("far")
         if jumped.where("far").isEmpty():
             break

@@ -34,6 +34,37 @@ def test_one_table(spark):
     by = {(x.run_no, x.rec_no): x["values"] for x in rows}
     assert by[3, 0]["seconds"] == "1.7" and by[1, 0]["seconds"] == "1.7" and by[3, 0]["meta.mask"] == "byte_nonzero"
     assert by[0, 0]["extra"] == "none" and "elapsed" not in by[3, 0]
+    typed = {(x.run_no, x.rec_no): x for x in rows}
+    assert typed[0, 0].casts == ["seconds: number -> string"] and typed[3, 0].casts == [] and typed[0, 0].flags["ok"] is True
+
+
+def test_a_name_used_anew_has_a_column_of_its_own(spark):
+    days = [(0, "size"), (1, "bytes"), (2, "bytes"), (3, "bytes")]
+    r = records(spark, [(n, [rec("x", **{f: 5 + n}, **({"size": "big"} if n == 3 else {}), **({"gone": True} if n != 1 else {})) for _ in range(3)]) for n, f in days])
+    p = D.profile(r)
+    out = D.unify(r, D.routes(p, D.migrations(p)), ["run_no"]).collect()
+    last = [x for x in out if x.run_no == 3][0]
+    assert last["values"]["size"] == "8" and last["values"]["size#2"] == "big" and last.numbers["size"] == 8.0 and last.flags["gone"] is True
+
+
+def test_long_chains_and_whole_values(spark):
+    runs = [(n, [rec("x", **{f"f{n}": 7})]) for n in range(21)]
+    p = D.profile(records(spark, runs))
+    assert {x.canonical for x in D.routes(p, D.migrations(p)).where("field like 'f%'").collect()} == {"f0"}
+    long_a, long_b = ["p"] * 50 + ["left"], ["q"] * 50 + ["left"]
+    a = [rec("x", a=long_a, note="z " * 300 + "alpha beta")]
+    b = [rec("x", b=long_b, remark="y " * 300 + "alpha beta")]
+    got = D.migrations(D.profile(records(spark, [(0, a), (1, b)]))).collect()
+    assert {(x.field_from, x.field_to) for x in got} == {("a", "b"), ("note", "remark")}
+
+
+def test_answers_do_not_depend_on_the_number_of_records(spark):
+    def some(field, n, salt):
+        return [rec("x", **{field: f"{word(7919 * i + salt)} {word(104_729 * i + salt)}"}) for i in range(n)]
+
+    for n in (20, 2000, 10_000):
+        got = D.migrations(D.profile(records(spark, [(0, some("title", n, 1)), (1, some("remark", n, 300_000))]))).collect()
+        assert {x.kind for x in got} == {"removed", "added"}, n
 
 
 def test_versions_and_empty(spark):
