@@ -204,3 +204,242 @@ def to_srgb(c: Column) -> Column:
 
 def luma(rgb: Vec) -> Column:
     return 0.2126 * rgb[0] + 0.7152 * rgb[1] + 0.0722 * rgb[2]
+
+
+# --- light
+
+
+def reflected(n: Vec, v: Vec) -> tuple[Column, ...]:
+    """Unit reflection of -v about n."""
+    return unit(reflect(v, n), 1e-9)
+
+
+def sky_ambient(n: Vec, sun: Sequence[float], intensity: float = 0.65) -> list[Column]:
+    """Ambient of a normal from zenith, horizon and ground, with a glow towards the sun (fixed colours). ``sun`` points away from it."""
+    up = clip(n[1], -1.0, 1.0)
+    top, flat, low = clip(up, 0.0, 1.0), clip(1 - F.abs(up), 0.0, 1.0), clip(-up, 0.0, 1.0)
+    k = math.sqrt(sum(c * c for c in sun)) + 1e-9
+    toward = clip(-(n[0] * (sun[0] / k) + n[1] * (sun[1] / k) + n[2] * (sun[2] / k)), 0.0, 1.0)
+    glow = F.pow(toward, F.lit(8.0)) * 0.35
+    colours = zip((0.55, 0.70, 0.95), (0.85, 0.88, 0.95), (0.35, 0.30, 0.25), (1.20, 1.05, 0.85))
+    return [intensity * ((top * z + flat * h + low * g) / (top + flat + low + 1e-6) + glow * s) for z, h, g, s in colours]
+
+
+def cusp_glint(nl: Column, cusp: Column, pixels: Column) -> Column:
+    """Glint of a cusp over a footprint of so many pixels, before the light's colour."""
+    away = 1 - clip(nl, 0.0, 1.0)
+    return F.pow(clip(cusp, 0.0, 1.0), F.lit(1.5)) * F.exp(-(4.0 / (pixels + 1.0)) * away * away)
+
+
+class Environment:
+    """A procedural sky, sun and chequered ground; ``sample`` and ``sample_blurred`` give linear RGB of directions.
+
+    ``sun`` points away from the sun. The colours are fixed values of the format; ``studio`` is its other preset.
+    """
+
+    def __init__(self, sun: Sequence[float], sun_rgb=(1.4, 1.30, 1.10), zenith=(0.45, 0.62, 0.92), horizon=(0.78, 0.85, 0.95), dark=(0.18, 0.16, 0.14), light=(0.45, 0.42, 0.38), disc=0.985, sharp=16.0, haze=0.08):
+        k = math.sqrt(sum(c * c for c in sun)) + 1e-9
+        self.sun = [c / k for c in sun]
+        self.sun_rgb, self.zenith, self.horizon, self.dark, self.light, self.disc, self.sharp, self.haze = sun_rgb, zenith, horizon, dark, light, disc, sharp, haze
+
+    @classmethod
+    def studio(cls, sun: Sequence[float]) -> Environment:
+        return cls(sun, (2.20, 2.05, 1.85), (0.78, 0.80, 0.85), (0.92, 0.92, 0.92), (0.30, 0.30, 0.30), (0.55, 0.55, 0.55), 0.992, 10.0, 0.04)
+
+    def sample(self, d: Vec) -> list[Column]:
+        x, y, z = unit(d, 1e-9)
+        up = clip(y, -1.0, 1.0)
+        toward = clip(-(x * self.sun[0] + y * self.sun[1] + z * self.sun[2]), -1.0, 1.0)
+        glow = F.pow(F.greatest(toward, F.lit(0.0)), F.lit(self.sharp)) * 0.45 + F.when(toward > self.disc, 4.0).otherwise(0.0)
+        band = 0.5 * (1 - F.abs(up) / self.haze)
+        down = F.when(y < 0, -1.0 / y)  # the way to a floor one below
+        chequer = F.pmod(F.floor(x * down * 1.7) + F.floor(z * down * 1.7), F.lit(2)).cast("double")
+        near = F.exp(-0.08 * down * F.sqrt(x * x + y * y + z * z))
+        out = []
+        for s, t, h, a, b in zip(self.sun_rgb, self.zenith, self.horizon, self.dark, self.light):
+            sky = F.when(up > 0, F.sqrt(F.greatest(up, F.lit(0.0))) * t + F.greatest(F.lit(0.0), 1 - up) * h + glow * s).otherwise(0.0)
+            sky = F.when(F.abs(up) < self.haze, sky * (1 - band) + h * 1.15 * band).otherwise(sky)
+            floor = (a * (1 - chequer) + b * chequer) * near + h * (1 - near)
+            out.append(F.when(up < -1e-3, floor).otherwise(sky))
+        return out
+
+    def sample_blurred(self, d: Vec, rough: Column, taps: int = 4) -> list[Column]:
+        """Mean over a cone of half-angle rough * 90 degrees, weighted by its cosine.
+
+        The taps follow a golden-ratio sequence, so that they are the same on every run;
+        below a roughness of 0.05 the centre alone counts.
+        """
+        x, y, z = unit(d, 1e-9)
+        steep = F.abs(y) < 0.99
+        up = (F.when(steep, 0.0).otherwise(1.0), F.when(steep, 1.0).otherwise(0.0), F.lit(0.0))
+        t = unit((up[1] * z - up[2] * y, up[2] * x - up[0] * z, up[0] * y - up[1] * x), 1e-9)
+        b = (y * t[2] - z * t[1], z * t[0] - x * t[2], x * t[1] - y * t[0])
+        centre = self.sample((x, y, z))
+        total, weight = centre, F.lit(1.0)
+        for k in range(1, taps):
+            phi = 2 * math.pi * ((k * 0.6180339887498949) % 1)
+            theta = clip(rough, 0.0, 1.0) * (math.pi / 2 * math.sqrt((k - 0.5) / (taps - 1)))
+            s, c = F.sin(theta), F.cos(theta)
+            tap = self.sample(tuple(math.cos(phi) * s * p + math.sin(phi) * s * q + c * r for p, q, r in zip(t, b, (x, y, z))))
+            total, weight = [m + c * n for m, n in zip(total, tap)], weight + c
+        return [F.when(rough < 0.05, p).otherwise(q / weight) for p, q in zip(centre, total)]
+
+
+def lambert_light(albedo: Vec, n: Vec, light: Sequence[float], shadow: Column, ao: Column, ambient: Sequence[float], sun_rgb: Sequence[float]) -> list[Column]:
+    """Sun with shadow, and ambient with occlusion. ``light`` points away from the sun and is a unit vector."""
+    nl = F.greatest(F.lit(0.0), -(n[0] * light[0] + n[1] * light[1] + n[2] * light[2]))
+    return [clip(s * a * nl * shadow + m * a * ao, 0.0, 1.0) for a, m, s in zip(albedo, ambient, sun_rgb)]
+
+
+def bar1_light(albedo: Vec, n: Vec, v: Vec, light: Sequence[float], sun_rgb: Sequence[float], shadow: Column, ao: Column, hint: Column, view_dep: Column, cusp: Column, pixels: Column) -> list[Column]:
+    """Lambert, sky ambient, specular lobe by material class, and cusp glint (strengths are fixed values)."""
+    to = [F.lit(-c) for c in light]
+    nl = F.greatest(F.lit(0.0), dot(n, to))
+    rough, sky, glint = class_roughness(hint, view_dep), sky_ambient(n, light), cusp_glint(nl, cusp, pixels)
+    out = []
+    for a, m, s in zip(albedo, sky, sun_rgb):
+        spec = 1.2 * ggx(n, v, to, rough, class_f0(hint, a), cusp) * s * nl * shadow + 0.6 * glint * s * shadow
+        out.append(clip(s * a * nl * shadow + m * a * ao + spec, 0.0, 1.0))
+    return out
+
+
+def bar2_light(albedo: Vec, metallic: Column, rough: Column, f0: Vec, n: Vec, v: Vec, light: Sequence[float], sun_rgb: Sequence[float], env: Environment, shadow: Column, ao: Column | None, cusp: Column | None = None, pixels: Column | None = None, strengths: Sequence[float] = (1.4, 0.55, 0.85, 0.55)) -> list[Column]:
+    """Direct light and environment, diffuse weighted by 1 - metallic; strengths of sun, ambient, reflection and glint."""
+    sun, ambient, mirror, shine = strengths
+    to = [F.lit(-c) for c in light]
+    nl, nv, kd = F.greatest(F.lit(0.0), dot(n, to)), F.greatest(F.lit(0.0), dot(n, v)), 1 - metallic
+    around = env.sample(n) if ambient else [F.lit(0.0)] * 3
+    back = env.sample_blurred(reflected(n, v), rough) if mirror else [F.lit(0.0)] * 3
+    open_ = F.lit(0.85) if ao is None else 0.5 + 0.5 * ao
+    glint = shine * cusp_glint(nl, cusp, pixels) * shadow if cusp is not None and pixels is not None and shine else F.lit(0.0)
+    out = []
+    for a, f, s, e, r in zip(albedo, f0, sun_rgb, around, back):
+        direct = sun * s * (kd * a + ggx(n, v, to, rough, f, cusp)) * nl * shadow
+        near = ambient * (e if ao is None else e * ao) * kd * a
+        out.append(clip(direct + near + mirror * schlick(f, clip(nv, 0.0, 1.0)) * r * open_ + glint * s, 0.0, 1.0))
+    return out
+
+
+def three_directions(eye: Sequence[float], centre: Sequence[float]) -> dict[str, tuple[float, float, float]]:
+    """Key, fill and rim light, each pointing from its source to the scene (azimuth and elevation are fixed values)."""
+
+    def norm(a):
+        k = math.sqrt(sum(c * c for c in a)) + 1e-9
+        return [c / k for c in a]
+
+    def across(a, b):
+        return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+    ahead = norm([c - e for c, e in zip(centre, eye)])
+    right = norm(across(ahead, (0.0, 1.0, 0.0)))
+    up = norm(across(right, ahead))
+    out = {}
+    for name, az, el in (("key", 35.0, 25.0), ("fill", -50.0, 10.0), ("rim", 170.0, 35.0)):
+        a, e = math.radians(az), math.radians(el)
+        out[name] = tuple(-c for c in norm([math.cos(e) * math.sin(a) * r + math.sin(e) * u + math.cos(e) * math.cos(a) * f for r, u, f in zip(right, up, ahead)]))
+    return out
+
+
+def three_lights(albedo: Vec, metallic: Column, rough: Column, f0: Vec, n: Vec, v: Vec, eye: Sequence[float], centre: Sequence[float], env: Environment, shadow: Column, ao: Column) -> list[Column]:
+    """Key light with environment, fill and rim without (weights, strengths and colours are fixed values)."""
+    way, one = three_directions(eye, centre), F.lit(1.0)
+    key = bar2_light(albedo, metallic, rough, f0, n, v, way["key"], (1.0, 0.96, 0.9), env, shadow, ao, strengths=(1.6, 0.55, 1.0, 0.0))
+    fill = bar2_light(albedo, metallic, rough, f0, n, v, way["fill"], (0.8, 0.9, 1.0), env, one, ao, strengths=(0.6, 0.0, 0.0, 0.0))
+    rim = bar2_light(albedo, metallic, rough, f0, n, v, way["rim"], (1.0, 1.0, 1.0), env, one, None, strengths=(1.0, 0.0, 0.0, 0.0))
+    return [a + 0.55 * b + 0.40 * c for a, b, c in zip(key, fill, rim)]
+
+
+def colour_grade(rgb: Vec, stops: float = 0.0, contrast: float = 1.05, saturation: float = 1.10) -> list[Column]:
+    """Lift, gamma, gain (fixed values), contrast about a half, and saturation."""
+    out = []
+    for c, lift, gamma, gain in zip(rgb, (0.005, 0.005, 0.012), (1.00, 1.00, 0.98), (1.02, 1.00, 0.97)):
+        out.append((F.pow(F.greatest(c * 2.0**stops + lift, F.lit(1e-9)), F.lit(1 / gamma)) * gain - 0.5) * contrast + 0.5)
+    grey = luma(out)
+    return [grey + (c - grey) * saturation for c in out]
+
+
+def vignette(y: Column, x: Column, height: int, width: int, strength: float = 0.20, falloff: float = 1.6) -> Column:
+    """The factor that darkens a pixel towards the corners."""
+    cy, cx = (height - 1) / 2, (width - 1) / 2
+    r2 = ((x - cx) / cx) * ((x - cx) / cx) + ((y - cy) / cy) * ((y - cy) / cy)
+    return 1 - strength * F.pow(clip(r2, 0.0, 1.0), F.lit(falloff))
+
+
+def equirect_pixel(d: Vec, height: int, width: int) -> tuple[Column, Column]:
+    """(v, u): row and column of a direction in an equirectangular panorama."""
+    x, y, z = unit(d, 1e-9)
+    u = F.atan2(x, -z) / (2 * math.pi) + 0.5
+    v = F.asin(clip(y, -1.0, 1.0)) / math.pi + 0.5
+    hold = lambda c, n: F.greatest(F.lit(0), F.least(F.floor(c), F.lit(n - 1))).cast("int")
+    return hold((1 - v) * height, height), hold(u * width, width)
+
+
+def eigenframe_density(a: Column, b: Column, c: Column, dx: Column, dy: Column, theta: Sequence[Column]) -> Column:
+    """Germ density of a screen offset in the eigenframe of [[a, b], [b, c]]; without germ the Gaussian."""
+    det = a * c - b * b
+    det = F.when(F.abs(det) < 1e-10, 1e-10).otherwise(det)
+    m = F.greatest((c * dx * dx - 2 * b * dx * dy + a * dy * dy) / det, F.lit(0.0))
+    root = F.sqrt(F.greatest((a + c) * (a + c) - 4 * (a * c - b * b), F.lit(0.0)))
+    one, two = 0.5 * (a + c + root), 0.5 * (a + c - root)
+    turned = F.abs(b) > 1e-9
+    vx = F.when(turned, one - c).when(a >= c, 1.0).otherwise(0.0)
+    vy = F.when(turned, b).when(a >= c, 0.0).otherwise(1.0)
+    k = F.sqrt(vx * vx + vy * vy) + 1e-12
+    s = (dx * vx + dy * vy) / k / (F.sqrt(F.greatest(one, F.lit(1e-12))) + 1e-12)
+    t = (dy * vx - dx * vy) / k / (F.sqrt(F.greatest(two, F.lit(1e-12))) + 1e-12)
+    return germ_density(m, germ_value(theta, s, t))
+
+
+def height_colour(z: Column, low: Column, high: Column) -> list[Column]:
+    h = (z - low) / (high - low + 1e-9)
+    return [clip(c, 0.0, 1.0) for c in (0.3 + 0.6 * h, 0.5 + 0.3 * (1 - h), 0.6 + 0.4 * h)]
+
+
+def sh_sequence(dc: Vec, rest: Column, count: int = 12) -> Column:
+    """3 * count colours of a splat: RGB at each of ``count`` spread directions, in [0, 1]."""
+    basis = []
+    for i in range(count):
+        y = 1 - 2 * (i + 0.5) / count
+        r, a = math.sqrt(1 - y * y), math.pi * (1 + math.sqrt(5)) * (i + 0.5)
+        d = (math.cos(a) * r, math.sin(a) * r, y)
+        basis.append(F.array(*[F.lit(float(v)) for v in _basis_at(d)]))
+
+    def at(b: Column) -> Column:
+        each = [F.aggregate(F.zip_with(F.slice(rest, 15 * c + 1, 15), b, lambda p, q: p.cast("double") * q), dc[c] * 0.28209479177387814 + 0.5, lambda s, v: s + v) for c in range(3)]
+        return F.array(*[clip(e, 0.0, 1.0) for e in each])
+
+    return F.flatten(F.transform(F.array(*basis), at))
+
+
+def _basis_at(d: Sequence[float]) -> list[float]:
+    """The 15 view-dependent basis values (fixed constants of ``sh_basis``) at a direction of plain numbers."""
+    x, y, z = d
+    return [
+        -0.4886025119029199 * y, 0.4886025119029199 * z, -0.4886025119029199 * x,
+        1.0925484305920792 * x * y, -1.0925484305920792 * y * z, 0.31539156525252 * (3 * z * z - 1), -1.0925484305920792 * x * z, 0.5462742152960395 * (x * x - y * y),
+        -0.5900435899266435 * y * (3 * x * x - y * y), 2.890611442640554 * x * y * z, -0.4570457994644658 * y * (5 * z * z - 1), 0.3731763325901154 * z * (5 * z * z - 3), -0.4570457994644658 * x * (5 * z * z - 1), 1.445305721320277 * z * (x * x - y * y), -0.5900435899266435 * x * (x * x - 3 * y * y),
+    ]
+
+
+def material_class(dc: Vec, rest: Column, alpha: Column, kappa: Column, distance: Column, far: Column, flat: Column, strided: bool = False) -> tuple[Column, Column]:
+    """(class, confidence): floater, emissive, mirror, glossy, diffuse or unknown, in that order (thresholds are fixed values).
+
+    ``far`` and ``flat`` are the 90th percentile of ``distance`` and the 25th of ``kappa``.
+    """
+    base = (dc[0] + dc[1] + dc[2]) / 3 * 0.28209479177387814 + 0.5
+    b1, _, b3 = band_norms(rest, strided)
+    size = F.sqrt(dot(dc, dc)) + 1e-3
+    ratio = norm(rest) / size
+    votes = (distance > far).cast("int") + (kappa < flat).cast("int") + (alpha < 0.3).cast("int")
+    rules = [
+        (votes >= 2, FLOATER, F.least(votes * 80, F.lit(255))),
+        ((F.least(base, F.lit(2.0)) > 1.0) & (b3 > 0.3), EMISSIVE, F.lit(200)),
+        ((b3 / size > 1.5) & (alpha > 0.7), MIRROR, F.floor(clip(b3 * 50, 0, 255))),
+        ((ratio > 0.5) & (b1 > b3 * 1.5), GLOSSY, F.floor(clip(ratio * 80, 0, 255))),
+        ((ratio < 0.2) & (alpha > 0.5), DIFFUSE, F.greatest(255 - F.floor(ratio * 1000), F.lit(0))),
+    ]
+    hint, sure = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for rule, name, confidence in rules:
+        hint = F.coalesce(hint, F.when(rule, F.lit(name)))
+        sure = F.coalesce(sure, F.when(rule, confidence.cast("int")))
+    return F.coalesce(hint, F.lit(UNKNOWN)), F.coalesce(sure, F.lit(0))

@@ -23,27 +23,12 @@ def cell_key(x: Column, y: Column, z: Column, grid: int = 32) -> Column:
     return (i[0] + grid * i[1] + grid * grid * i[2]).cast("bigint")
 
 
-def edges_within(points: DataFrame, radius: float, k: int, group: str = "scene_id") -> DataFrame:
-    """(group, src, dst, rank, d2): up to k nearest others within ``radius``, ties to the smaller id.
-
-    Points meet in the 27 cells around theirs, an equi-join on the cell; no pairs beyond it are made.
-    """
-    p = points.select(group, "id", "x", "y", "z", *voxel("xyz", radius))
-    near = p.select(F.col(group), F.col("id").alias("dst"), *[F.col(c).alias(f"{c}2") for c in "xyz"], "vx", "vy", "vz")
-    probe = p
-    for c in ("vx", "vy", "vz"):
-        probe = probe.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    dx, dy, dz = (F.col(f"{c}2") - F.col(c) for c in "xyz")
-    d = probe.join(near, [group, "vx", "vy", "vz"]).where(F.col("id") != F.col("dst")).withColumn("d2", dx * dx + dy * dy + dz * dz).where(F.col("d2") <= radius * radius)
-    ranked = d.select(group, F.col("id").alias("src"), "dst", "d2")
-    return ranked.withColumn("rank", F.row_number().over(W.partitionBy(group, "src").orderBy("d2", "dst"))).where(F.col("rank") <= k)
-
-
-def edge_checks(edges: DataFrame, group: str = "scene_id") -> DataFrame:
-    """One row: self edges, edges out of order, edges in all."""
+def edge_checks(edges: DataFrame, points: DataFrame, group: str = "scene_id") -> DataFrame:
+    """One row: self edges, edges out of order, edges to no point of the group, edges in all."""
     w = W.partitionBy(group, "src").orderBy("rank")
     e = edges.withColumn("back", F.coalesce(F.col("d2") - F.lag("d2").over(w), F.lit(0.0)))
-    return e.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_edges"), F.count_if(F.col("back") < -1e-9).alias("unsorted"), F.count("*").alias("edges"))
+    e = e.join(points.select(group, F.col("id").alias("dst"), F.lit(True).alias("there")), [group, "dst"], "left")
+    return e.agg(F.count_if(F.col("src") == F.col("dst")).alias("self_edges"), F.count_if(F.col("back") < -1e-9).alias("unsorted"), F.count_if(F.col("there").isNull()).alias("out_of_range"), F.count("*").alias("edges"))
 
 
 def with_ends(edges: DataFrame, points: DataFrame, cols: Sequence[str], group: str = "scene_id") -> DataFrame:

@@ -14,16 +14,26 @@ _S = f"WITH {SPLATS_SQL}\n"
 _P = f"WITH {POINTS_SQL}\n"
 
 
-def query(sql: str | None = None):
+class _Register:
     """Registers a query under its name, with its SQL twin if there is one."""
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
+    def __init__(self, queries: dict, oracle: dict):
+        self.queries, self.oracle = queries, oracle
 
-    return add
+    def into(self, queries: dict, oracle: dict) -> _Register:
+        return _Register(queries, oracle)
+
+    def __call__(self, sql: str | None = None):
+        def add(f):
+            self.queries[f.__name__] = f
+            if sql is not None:
+                self.oracle[f.__name__] = sql
+            return f
+
+        return add
+
+
+query = _Register(QUERIES, ORACLE)
 
 
 def _r(c, n: int = 6):

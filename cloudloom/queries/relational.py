@@ -8,24 +8,15 @@ from cloudloom.functions import quant as Q, shading as S
 from cloudloom.operators import grids, patches, raster
 from cloudloom.plans.adapters import POINTS_SQL, SPLATS_SQL, points, valid_splats, whole_splats
 from cloudloom.plans.session import table
-from cloudloom.queries.projections import _MORTON, PROJECTED_SQL, VIEW, _cols, _r, projected, with_morton
+from cloudloom.queries.projections import _MORTON, PROJECTED_SQL, VIEW, _cols, _r, projected, query, with_morton
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+query = query.into(QUERIES, ORACLE)
 _S = f"WITH {SPLATS_SQL}\n"
 _P = f"WITH {POINTS_SQL}\n"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- aggregates
 
 
@@ -182,53 +173,6 @@ def nearest_centre(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("id").agg(F.min_by("centre", F.struct("d2", "centre")).alias("centre"))
 
 
-# --- neighbourhoods
-
-RADIUS, K = 0.1, 4
-_EDGE = _S + f""", e AS (SELECT a.scene_id, a.id src, b.id dst, (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)+(b.z-a.z)*(b.z-a.z) d2 FROM s a JOIN s b ON a.scene_id=b.scene_id AND a.id<>b.id),
-edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, src ORDER BY d2, dst) AS rank FROM e WHERE d2 <= {RADIUS}*{RADIUS}) WHERE rank <= {K})
-"""
-
-
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    return grids.edges_within(whole_splats(spark, d).select("scene_id", "id", "x", "y", "z"), RADIUS, K)
-
-
-@query(_EDGE + "SELECT scene_id, src, dst, rank::INT AS rank, round(sqrt(d2),6) AS dist FROM edges")
-def knn_edges(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).select("scene_id", "src", "dst", "rank", _r(F.sqrt("d2")).alias("dist"))
-
-
-@query(_EDGE + "SELECT 0::BIGINT AS self_edges, 0::BIGINT AS unsorted, count(*) AS edges FROM edges")
-def validate_edges(spark: SparkSession, d: str) -> DataFrame:
-    return grids.edge_checks(edges(spark, d))
-
-
-_LIT = _EDGE + """, l AS (SELECT e.*, b.y-a.y t, e.d2-(b.y-a.y)*(b.y-a.y) off2, exp(2*greatest(b.sx,b.sy,b.sz)) s2, 1.0/(1.0+exp(-b.opacity)) alpha FROM edges e JOIN s a ON a.id=e.src JOIN s b ON b.id=e.dst)
-"""
-
-
-def _lit(spark: SparkSession, d: str) -> DataFrame:
-    """Edges with the distance along a light from above (t), the squared distance off it, and what the neighbour blocks."""
-    s = whole_splats(spark, d).select("scene_id", "id", "y", F.exp(2 * F.greatest("sx", "sy", "sz")).alias("s2"), Q.sigmoid(F.col("opacity")).alias("alpha"))
-    e = grids.with_ends(edges(spark, d), s, ["y", "s2", "alpha"]).withColumn("t", F.col("d_y") - F.col("s_y"))
-    return e.withColumn("off2", F.col("d2") - F.col("t") * F.col("t"))
-
-
-@query(_LIT + "SELECT src AS id, round(product(CASE WHEN t > 0 THEN 1-least(1.0,exp(-0.5*off2/s2)*alpha) ELSE 1.0 END),5) AS shadow, round(exp(-0.5*sum(CASE WHEN t > 0 THEN exp(-0.5*d2/0.0025)*alpha ELSE 0.0 END)),5) AS ao FROM l GROUP BY src")
-def shadow_and_ao(spark: SparkSession, d: str) -> DataFrame:
-    up = F.col("t") > 0
-    occ = F.least(F.lit(1.0), F.exp(-0.5 * F.col("off2") / F.col("d_s2")) * F.col("d_alpha"))
-    shadow = F.product(F.when(up, 1 - occ).otherwise(1.0))
-    ao = F.exp(-0.5 * F.sum(F.when(up, F.exp(-0.5 * F.col("d2") / 0.0025) * F.col("d_alpha")).otherwise(0.0)))
-    return _lit(spark, d).groupBy(F.col("src").alias("id")).agg(_r(shadow, 5).alias("shadow"), _r(ao, 5).alias("ao"))
-
-
-@query(_EDGE + "SELECT src AS id, round(greatest(0.5*avg(sqrt(d2)),0.001),6) AS sigma FROM edges GROUP BY src")
-def seed_sigma(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).groupBy(F.col("src").alias("id")).agg(_r(F.greatest(0.5 * F.avg(F.sqrt("d2")), F.lit(0.001))).alias("sigma"))
-
-
 # --- raster
 
 _FRAG = PROJECTED_SQL.rstrip() + """, vis AS (SELECT id, depth, px, py, radius, alpha, cc/dt ia, -cb/dt ib, ca/dt ic, greatest(0.0,least(1.0,dc_r)) r, greatest(0.0,least(1.0,dc_g)) g, greatest(0.0,least(1.0,dc_b)) b FROM (SELECT *, CASE WHEN abs(ca*cc-cb*cb)<1e-10 THEN 1e-10 ELSE ca*cc-cb*cb END dt FROM f) WHERE radius <= 4.0),
