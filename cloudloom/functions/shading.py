@@ -232,7 +232,7 @@ def cusp_glint(nl: Column, cusp: Column, pixels: Column) -> Column:
 
 
 class Environment:
-    """A procedural sky, sun and chequered ground; ``sample`` and ``sample_blurred`` give linear RGB of directions.
+    """A procedural sky, sun and chequered ground, as linear RGB of directions (see ``operators.light``).
 
     ``sun`` points away from the sun. The colours are fixed values of the format; ``studio`` is its other preset.
     """
@@ -246,44 +246,28 @@ class Environment:
     def studio(cls, sun: Sequence[float]) -> Environment:
         return cls(sun, (2.20, 2.05, 1.85), (0.78, 0.80, 0.85), (0.92, 0.92, 0.92), (0.30, 0.30, 0.30), (0.55, 0.55, 0.55), 0.992, 10.0, 0.04)
 
-    def sample(self, d: Vec) -> list[Column]:
-        x, y, z = unit(d, 1e-9)
-        up = clip(y, -1.0, 1.0)
+    def terms(self, d: Vec) -> dict[str, Column]:
+        """What the colours of a unit direction depend on. Each is used several times: make columns of them."""
+        x, y, z = d
         toward = clip(-(x * self.sun[0] + y * self.sun[1] + z * self.sun[2]), -1.0, 1.0)
-        glow = F.pow(F.greatest(toward, F.lit(0.0)), F.lit(self.sharp)) * 0.45 + F.when(toward > self.disc, 4.0).otherwise(0.0)
-        band = 0.5 * (1 - F.abs(up) / self.haze)
+        up = clip(y, -1.0, 1.0)
         down = F.when(y < 0, -1.0 / y)  # the way to a floor one below
-        chequer = F.pmod(F.floor(x * down * 1.7) + F.floor(z * down * 1.7), F.lit(2)).cast("double")
-        near = F.exp(-0.08 * down * F.sqrt(x * x + y * y + z * z))
-        out = []
-        for s, t, h, a, b in zip(self.sun_rgb, self.zenith, self.horizon, self.dark, self.light):
-            sky = F.when(up > 0, F.sqrt(F.greatest(up, F.lit(0.0))) * t + F.greatest(F.lit(0.0), 1 - up) * h + glow * s).otherwise(0.0)
+        return {
+            "up": up,
+            "glow": F.pow(F.greatest(toward, F.lit(0.0)), F.lit(self.sharp)) * 0.45 + F.when(toward > self.disc, 4.0).otherwise(0.0),
+            "band": 0.5 * (1 - F.abs(up) / self.haze),
+            "chequer": F.pmod(F.floor(x * down * 1.7) + F.floor(z * down * 1.7), F.lit(2)).cast("double"),
+            "near": F.exp(-0.08 * down * F.sqrt(x * x + y * y + z * z)),
+        }
+
+    def colours(self, t: dict[str, Column]) -> list[Column]:
+        up, band, chequer, near, out = t["up"], t["band"], t["chequer"], t["near"], []
+        for s, top, h, a, b in zip(self.sun_rgb, self.zenith, self.horizon, self.dark, self.light):
+            sky = F.when(up > 0, F.sqrt(F.greatest(up, F.lit(0.0))) * top + F.greatest(F.lit(0.0), 1 - up) * h + t["glow"] * s).otherwise(0.0)
             sky = F.when(F.abs(up) < self.haze, sky * (1 - band) + h * 1.15 * band).otherwise(sky)
-            floor = (a * (1 - chequer) + b * chequer) * near + h * (1 - near)
-            out.append(F.when(up < -1e-3, floor).otherwise(sky))
+            out.append(F.when(up < -1e-3, (a * (1 - chequer) + b * chequer) * near + h * (1 - near)).otherwise(sky))
         return out
 
-    def sample_blurred(self, d: Vec, rough: Column, taps: int = 4) -> list[Column]:
-        """Mean over a cone of half-angle rough * 90 degrees, weighted by its cosine.
-
-        The taps follow a golden-ratio sequence, so that they are the same on every run;
-        below a roughness of 0.05 the centre alone counts.
-        """
-        x, y, z = unit(d, 1e-9)
-        steep = F.abs(y) < 0.99
-        up = (F.when(steep, 0.0).otherwise(1.0), F.when(steep, 1.0).otherwise(0.0), F.lit(0.0))
-        t = unit((up[1] * z - up[2] * y, up[2] * x - up[0] * z, up[0] * y - up[1] * x), 1e-9)
-        b = (y * t[2] - z * t[1], z * t[0] - x * t[2], x * t[1] - y * t[0])
-        centre = self.sample((x, y, z))
-        total, weight = centre, F.lit(1.0)
-        for k in range(1, taps):
-            phi = 2 * math.pi * ((k * 0.6180339887498949) % 1)
-            theta = clip(rough, 0.0, 1.0) * (math.pi / 2 * math.sqrt((k - 0.5) / (taps - 1)))
-            s, c = F.sin(theta), F.cos(theta)
-            tap = self.sample(tuple(math.cos(phi) * s * p + math.sin(phi) * s * q + c * r for p, q, r in zip(t, b, (x, y, z))))
-            total, weight = [m + c * n for m, n in zip(total, tap)], weight + c
-        return [F.when(rough < 0.05, p).otherwise(q / weight) for p, q in zip(centre, total)]
-
 
 def lambert_light(albedo: Vec, n: Vec, light: Sequence[float], shadow: Column, ao: Column, ambient: Sequence[float], sun_rgb: Sequence[float]) -> list[Column]:
     """Sun with shadow, and ambient with occlusion. ``light`` points away from the sun and is a unit vector."""
@@ -303,23 +287,6 @@ def bar1_light(albedo: Vec, n: Vec, v: Vec, light: Sequence[float], sun_rgb: Seq
     return out
 
 
-def bar2_light(albedo: Vec, metallic: Column, rough: Column, f0: Vec, n: Vec, v: Vec, light: Sequence[float], sun_rgb: Sequence[float], env: Environment, shadow: Column, ao: Column | None, cusp: Column | None = None, pixels: Column | None = None, strengths: Sequence[float] = (1.4, 0.55, 0.85, 0.55)) -> list[Column]:
-    """Direct light and environment, diffuse weighted by 1 - metallic; strengths of sun, ambient, reflection and glint."""
-    sun, ambient, mirror, shine = strengths
-    to = [F.lit(-c) for c in light]
-    nl, nv, kd = F.greatest(F.lit(0.0), dot(n, to)), F.greatest(F.lit(0.0), dot(n, v)), 1 - metallic
-    around = env.sample(n) if ambient else [F.lit(0.0)] * 3
-    back = env.sample_blurred(reflected(n, v), rough) if mirror else [F.lit(0.0)] * 3
-    open_ = F.lit(0.85) if ao is None else 0.5 + 0.5 * ao
-    glint = shine * cusp_glint(nl, cusp, pixels) * shadow if cusp is not None and pixels is not None and shine else F.lit(0.0)
-    out = []
-    for a, f, s, e, r in zip(albedo, f0, sun_rgb, around, back):
-        direct = sun * s * (kd * a + ggx(n, v, to, rough, f, cusp)) * nl * shadow
-        near = ambient * (e if ao is None else e * ao) * kd * a
-        out.append(clip(direct + near + mirror * schlick(f, clip(nv, 0.0, 1.0)) * r * open_ + glint * s, 0.0, 1.0))
-    return out
-
-
 def three_directions(eye: Sequence[float], centre: Sequence[float]) -> dict[str, tuple[float, float, float]]:
     """Key, fill and rim light, each pointing from its source to the scene (azimuth and elevation are fixed values)."""
 
@@ -340,15 +307,6 @@ def three_directions(eye: Sequence[float], centre: Sequence[float]) -> dict[str,
     return out
 
 
-def three_lights(albedo: Vec, metallic: Column, rough: Column, f0: Vec, n: Vec, v: Vec, eye: Sequence[float], centre: Sequence[float], env: Environment, shadow: Column, ao: Column) -> list[Column]:
-    """Key light with environment, fill and rim without (weights, strengths and colours are fixed values)."""
-    way, one = three_directions(eye, centre), F.lit(1.0)
-    key = bar2_light(albedo, metallic, rough, f0, n, v, way["key"], (1.0, 0.96, 0.9), env, shadow, ao, strengths=(1.6, 0.55, 1.0, 0.0))
-    fill = bar2_light(albedo, metallic, rough, f0, n, v, way["fill"], (0.8, 0.9, 1.0), env, one, ao, strengths=(0.6, 0.0, 0.0, 0.0))
-    rim = bar2_light(albedo, metallic, rough, f0, n, v, way["rim"], (1.0, 1.0, 1.0), env, one, None, strengths=(1.0, 0.0, 0.0, 0.0))
-    return [a + 0.55 * b + 0.40 * c for a, b, c in zip(key, fill, rim)]
-
-
 def colour_grade(rgb: Vec, stops: float = 0.0, contrast: float = 1.05, saturation: float = 1.10) -> list[Column]:
     """Lift, gamma, gain (fixed values), contrast about a half, and saturation."""
     out = []

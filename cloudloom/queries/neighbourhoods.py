@@ -139,7 +139,7 @@ def materials(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({"hint": hint, "sure": sure})
 
 
-@query(_MAT + ", h AS (SELECT s.id, greatest(0.0,least(1.0,0.28209479177387814*dc_r+0.5)) a, CASE WHEN votes >= 2 THEN 6 WHEN base > 1.0 AND b3 > 0.3 THEN 5 WHEN b3/sz > 1.5 AND al > 0.7 THEN 3 WHEN ratio > 0.5 AND b1 > b3*1.5 THEN 2 WHEN ratio < 0.2 AND al > 0.5 THEN 1 ELSE 0 END h, floor(least(ratio/4*255,255)) vd FROM vt JOIN s USING (id)) SELECT id, round(CASE h WHEN 1 THEN 0.95 WHEN 2 THEN 0.4 WHEN 3 THEN 0.05 WHEN 6 THEN 1.0 WHEN 0 THEN 0.9-0.7*vd/255.0 ELSE 0.6 END,5) AS rough, round(CASE h WHEN 2 THEN 0.04+0.3*(a-0.04) WHEN 3 THEN a WHEN 6 THEN 0.0 ELSE 0.04 END,5) AS f0 FROM h")
+@query(_MAT + ", h AS (SELECT s.id, greatest(0.0,least(1.0,0.28209479177387814*dc_r+0.5)) a, CASE WHEN votes >= 2 THEN 6 WHEN base > 1.0 AND b3 > 0.3 THEN 5 WHEN b3/vt.sz > 1.5 AND al > 0.7 THEN 3 WHEN ratio > 0.5 AND b1 > b3*1.5 THEN 2 WHEN ratio < 0.2 AND al > 0.5 THEN 1 ELSE 0 END h, floor(least(ratio/4*255,255)) vd FROM vt JOIN s USING (id)) SELECT id, round(CASE h WHEN 1 THEN 0.95 WHEN 2 THEN 0.4 WHEN 3 THEN 0.05 WHEN 6 THEN 1.0 WHEN 0 THEN 0.9-0.7*vd/255.0 ELSE 0.6 END,5) AS rough, round(CASE h WHEN 2 THEN 0.04+0.3*(a-0.04) WHEN 3 THEN a WHEN 6 THEN 0.0 ELSE 0.04 END,5) AS f0 FROM h")
 def class_lobes(spark: SparkSession, d: str) -> DataFrame:
     m = materials(spark, d).withColumn("vd", Q.view_dependence(F.array("dc_r", "dc_g", "dc_b"), F.col("sh_rest")))
     a = Q.clip(Q.SH_C0 * F.col("dc_r") + 0.5, 0.0, 1.0)
