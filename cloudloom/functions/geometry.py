@@ -191,3 +191,23 @@ def matrix_angle(r: Sequence[Sequence[Column]]) -> Column:
     """Rotation angle of a matrix in radians."""
     t = (r[0][0] + r[1][1] + r[2][2] - 1) / 2
     return F.acos(F.greatest(F.lit(-1.0), F.least(t, F.lit(1.0))))
+
+
+def normal_quaternion(n: Vec) -> list[Column]:
+    """Quaternion (w, x, y, z) that turns the z axis to a unit normal; half a turn about x for the opposite one."""
+    half = F.acos(F.greatest(F.lit(-1.0), F.least(n[2], F.lit(1.0)))) / 2
+    side = F.greatest(F.sqrt(n[0] * n[0] + n[1] * n[1]), F.lit(1e-9))
+    same, back = F.abs(n[2] - 1) < 1e-6, F.abs(n[2] + 1) < 1e-6
+    q = [F.cos(half), -n[1] / side * F.sin(half), n[0] / side * F.sin(half), F.lit(0.0)]
+    return [F.when(same, a).when(back, b).otherwise(c) for a, b, c in zip((1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0), q)]
+
+
+def orthographic(p: Vec, view: str) -> tuple[Column, Column]:
+    """Plane coordinates of a view: 'top', 'front', 'side' or 'iso'."""
+    x, y, z = p
+    return {"top": (x, -y), "front": (x, -z), "side": (y, -z), "iso": (x - 0.5 * y, -0.5 * x - 0.5 * y - z)}[view]
+
+
+def focal_pixels(equivalent_mm: Column, width: int, fov: float) -> Column:
+    """Focal length in pixels of a 35 mm equivalent; where there is none, of a field of view in degrees."""
+    return F.coalesce(F.when(equivalent_mm > 0, equivalent_mm * width / 36.0), F.lit(0.5 * width / math.tan(math.radians(fov) / 2)))

@@ -36,3 +36,13 @@ def backward_steps(frames: DataFrame, group: str, frame: str, time: str) -> Data
     """Frames whose time is before that of the frame before; equal times are allowed."""
     w = W.partitionBy(group).orderBy(frame)
     return frames.select(group, frame, time).distinct().withColumn("before", F.lag(time).over(w)).where(F.col(time) < F.col("before"))
+
+
+def base_guard(claims: DataFrame, bases: DataFrame, key: str) -> DataFrame:
+    """(key, have, claimed, fits): whether each timeline's claim of its base's size holds; a base that is not there has 0 rows.
+
+    ``claims``: (key, claimed), ``bases``: (key, n). A patch is for the base it was made
+    for; apply those that fit.
+    """
+    j = claims.join(bases, key, "left").na.fill(0, ["n"])
+    return j.select(key, F.col("n").alias("have"), "claimed", F.col("n").eqNullSafe(F.col("claimed")).alias("fits"))
