@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cloudloom.llm import clusters, langid, leakage, mixing, neighbours
+from cloudloom.plans.durable import cut
 from cloudloom.plans.session import table
 
 #: Where the vocabulary files are.
@@ -62,7 +63,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_typical(spark: SparkSession, d: str) -> DataFrame:
     members, rows = _p5(spark, d)
-    return clusters.describe(members, rows, SH_SIZE).select(F.col("cluster").alias("cluster_key"), F.col("size"), F.col("rank"), F.col("id").alias("splat_id"), "to_centre")
+    return clusters.describe(cut(members), rows, SH_SIZE).select(F.col("cluster").alias("cluster_key"), F.col("size"), F.col("rank"), F.col("id").alias("splat_id"), "to_medoid")
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -110,4 +111,7 @@ p AS (SELECT a.scene_id, a.splat_id q, b.splat_id id, row_number() OVER (PARTITI
 FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.splat_id <> b.splat_id LEFT JOIN phox_seq s ON s.scene_id = a.scene_id),
 n AS (SELECT scene_id, q, id FROM p WHERE rn <= k)
 """
-ORACLE = {"p2_found": _KNN + "SELECT DISTINCT least(q, id) AS splat_lo, greatest(q, id) AS splat_hi FROM n", "p2_nearest": _KNN + "SELECT scene_id, q AS splat_id, id AS neighbor_id FROM n", "p5_found": _Q8 + "SELECT min(b.splat_id) AS cluster_key, a.splat_id FROM f a JOIN f b ON array_distance(a.c, b.c) <= 32 GROUP BY a.splat_id HAVING count(DISTINCT b.splat_id) > 1", "p6_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN own USING (r)"}
+ORACLE = {"p2_found": _KNN + "SELECT DISTINCT least(q, id) AS splat_lo, greatest(q, id) AS splat_hi FROM n", "p2_nearest": _KNN + "SELECT scene_id, q AS splat_id, id AS neighbor_id FROM n", "p5_found": _Q8 + "SELECT min(b.splat_id) AS cluster_key, a.splat_id FROM f a JOIN f b ON array_distance(a.c, b.c) <= 32 GROUP BY a.splat_id HAVING count(DISTINCT b.splat_id) > 1", "p5_typical": _Q8 + """, k AS (SELECT min(b.splat_id) AS cluster_key, a.splat_id FROM f a JOIN f b ON array_distance(a.c, b.c) <= 32 GROUP BY a.splat_id HAVING count(DISTINCT b.splat_id) > 1),
+n AS (SELECT k.cluster_key, k.splat_id, round(sqrt(list_sum(list_transform(range(1,46), lambda i: (a.c[i]::DOUBLE-m.c[i]::DOUBLE)*(a.c[i]::DOUBLE-m.c[i]::DOUBLE)))),6) AS to_medoid FROM k JOIN f a ON a.splat_id = k.splat_id JOIN f m ON m.splat_id = k.cluster_key),
+r AS (SELECT *, count(*) OVER (PARTITION BY cluster_key) AS size, row_number() OVER (PARTITION BY cluster_key ORDER BY splat_id <> cluster_key, to_medoid, splat_id)::INT AS rank FROM n)
+SELECT cluster_key, size, rank, splat_id, to_medoid FROM r WHERE rank <= 3""", "p6_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN own USING (r)"}
