@@ -164,6 +164,14 @@ def disparity_t(i: Column, n: int, near: float, far: float) -> Column:
     return 1.0 / ((1 - s) / near + s / far)
 
 
+def disparity_schedule(i: Column, n: int, near: float, far: float, inner: float = 2.5, share: float = 0.6) -> Column:
+    """The i-th of n distances: a ``share`` of them even from near to ``inner``, the others even in 1/t from there to far."""
+    k = max(2, min(n - 2, round(n * share)))
+    first = near + (inner - near) * ((i + 0.5) / k)
+    beyond = 1.0 / F.greatest(1 / inner + (1 / far - 1 / inner) * ((i - k + 0.5) / (n - k)), F.lit(1e-6))
+    return F.when(i < k, first).otherwise(beyond)
+
+
 def triangle_area(a: Vec, b: Vec, c: Vec) -> Column:
     return 0.5 * length(cross([q - p for p, q in zip(a, b)], [q - p for p, q in zip(a, c)]))
 
