@@ -182,3 +182,25 @@ def morton3(x: Column, y: Column, z: Column) -> Column:
 
 def bit(c: Column, b: int) -> Column:
     return F.shiftright(c, b).bitwiseAND(1)
+
+
+def packed(codec: str):
+    """A pandas UDF: bytes through a codec (zlib6, zlib9, bz2, lzma6, and brotli where it is there)."""
+
+    @F.pandas_udf("binary")
+    def run(b: pd.Series) -> pd.Series:
+        from cloudloom.sources import layouts
+
+        return b.map(lambda v: None if v is None else layouts.compress(codec, bytes(v)))
+
+    return run
+
+
+def unpacked(codec: str):
+    @F.pandas_udf("binary")
+    def run(b: pd.Series) -> pd.Series:
+        from cloudloom.sources import layouts
+
+        return b.map(lambda v: None if v is None else layouts.decompress(codec, bytes(v)))
+
+    return run

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -36,3 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and forget how it was made."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files and checkpoints that nothing refers to any more.
+
+    Spark removes them when the driver's garbage is collected, which may be long after a
+    ``cut``; jobs of several large steps say when, so that their disks hold one step at a time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

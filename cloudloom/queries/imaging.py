@@ -52,10 +52,10 @@ def _rays(spark: SparkSession):
     return rays, volume.samples(rays, 12, LOW, (1.0, 1.0, 1.0))
 
 
-@query(_P + _GRID + _RAYS + "SELECT y::INT AS y, x::INT AS x, s::INT AS s, round(v,4) AS v, round(g,4) AS r FROM sv")
+@query(_P + _GRID + _RAYS + "SELECT y::INT AS y, x::INT AS x, s::INT AS s, round(v,7) AS v, round(g*v,7) AS gv FROM sv")
 def trilinear_samples(spark: SparkSession, d: str) -> DataFrame:
     v = volume.sampled(_rays(spark)[1], grid(spark, d), RES, LOW, CELL)
-    return v.select("y", "x", "s", _r(F.col("v"), 4).alias("v"), _r(F.col("g"), 4).alias("r"))
+    return v.select("y", "x", "s", _r(F.col("v"), 7).alias("v"), _r(F.col("g") * F.col("v"), 7).alias("gv"))
 
 
 @query(_P + _GRID + _RAYS + "SELECT y::INT AS y, x::INT AS x, round(r,5) AS r, round(g,5) AS g, round(b,5) AS b FROM im")

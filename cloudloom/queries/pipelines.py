@@ -22,7 +22,7 @@ _S = f"WITH {SPLATS_SQL}\n"
 
 def group_moments(spark: SparkSession, d: str) -> DataFrame:
     m = fits.moments(whole_splats(spark, d), ["scene_id", "tier"])
-    return m.select("scene_id", "tier", "n", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "mean_z")], *[F.round(F.coalesce(c, F.lit(0.0)) + 1e-9, 5).alias(c) for c in ("c_xx", "c_xy", "c_zz")])
+    return m.select("scene_id", "tier", "n", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "mean_z")], *[(F.round(F.coalesce(c, F.lit(0.0)), 4) + 0.0).alias(c) for c in ("c_xx", "c_xy", "c_zz")])
 
 
 def pca_spread(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (group_moments, pca_spread, germ_fit, container_round_trip, mesh_triangles, stream_changes, event_windows, event_sessions)}
 ORACLE = {
-    "group_moments": _S + "SELECT scene_id, tier, count(*) AS n, " + ", ".join(f"round(avg({c}),6) AS mean_{c}" for c in "xyz") + ", " + ", ".join(f"round(coalesce(covar_samp({a},{b}),0.0)+1e-9,5) AS c_{a}{b}" for a, b in ("xx", "xy", "zz")) + " FROM s GROUP BY ALL",
+    "group_moments": _S + "SELECT scene_id, tier, count(*) AS n, " + ", ".join(f"round(avg({c}),6) AS mean_{c}" for c in "xyz") + ", " + ", ".join(f"round(coalesce(covar_samp({a},{b}),0.0),4)+0.0 AS c_{a}{b}" for a, b in ("xx", "xy", "zz")) + " FROM s GROUP BY ALL",
     "mesh_triangles": "SELECT * FROM (VALUES (1,1,1,2,3,'red',0.5::DOUBLE),(1,2,1,3,4,'red',0.5),(2,1,1,2,5,'chrome',1.0)) t(face,t,a,b,c,material,area)",
     "stream_changes": training.ORACLE["p4_found"],
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY ALL",

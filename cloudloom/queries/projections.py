@@ -259,13 +259,13 @@ def _germ(spark: SparkSession, d: str):
     return whole_splats(spark, d).select("id", F.col("dc_r").alias("k1"), F.col("dc_g").alias("k2"), F.col("dc_b").alias("ch"), (F.col("sx") / 10).alias("om"), (F.col("sy") / 10).alias("ze"), hold("x").alias("s"), hold("y").alias("t"))
 
 
-@query(_S + _GERM + """SELECT id, round(k1*s*s+k2*t*t+ch*(s*s*s-3*s*t*t)+om*(3*s*s*t-t*t*t)+ze*(s*s*s*s+t*t*t*t)+1e-7,5) AS h,
-round(2*k1*s+ch*(3*s*s-3*t*t)+6*om*s*t+4*ze*s*s*s+1e-7,5) AS hs, round(2*k2*t-6*ch*s*t+om*(3*s*s-3*t*t)+4*ze*t*t*t+1e-7,5) AS ht,
-round(2*k1+6*ch*s+6*om*t+12*ze*s*s+1e-7,5) AS hss, round(-6*ch*t+6*om*s+1e-7,5) AS hst, round(2*k2-6*ch*s-6*om*t+12*ze*t*t+1e-7,5) AS htt FROM g""")
+@query(_S + _GERM + """SELECT id, round(k1*s*s+k2*t*t+ch*(s*s*s-3*s*t*t)+om*(3*s*s*t-t*t*t)+ze*(s*s*s*s+t*t*t*t),8)+0.0 AS h,
+round(2*k1*s+ch*(3*s*s-3*t*t)+6*om*s*t+4*ze*s*s*s,8)+0.0 AS hs, round(2*k2*t-6*ch*s*t+om*(3*s*s-3*t*t)+4*ze*t*t*t,8)+0.0 AS ht,
+round(2*k1+6*ch*s+6*om*t+12*ze*s*s,8)+0.0 AS hss, round(-6*ch*t+6*om*s,8)+0.0 AS hst, round(2*k2-6*ch*s-6*om*t+12*ze*t*t,8)+0.0 AS htt FROM g""")
 def germ_surface(spark: SparkSession, d: str) -> DataFrame:
     th, s, t = _cols("k1", "k2", "ch", "om", "ze"), F.col("s"), F.col("t")
     out = [S.germ_value(th, s, t), *S.germ_gradient(th, s, t), *S.germ_hessian(th, s, t)]
-    return _germ(spark, d).select("id", *[_r(c + 1e-7, 5).alias(n) for c, n in zip(out, ("h", "hs", "ht", "hss", "hst", "htt"))])
+    return _germ(spark, d).select("id", *[(_r(c, 8) + 0.0).alias(n) for c, n in zip(out, ("h", "hs", "ht", "hss", "hst", "htt"))])
 
 
 @query()
@@ -327,10 +327,10 @@ def ggx_specular(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", _r(spec, 4).alias("spec"))
 
 
-@query(_S + "SELECT id, round(greatest(0.0,least(1.0,c*(2.51*c+0.03)/(c*(2.43*c+0.59)+0.14))),6) AS aces, round(CASE WHEN u <= 0.0031308 THEN 12.92*u ELSE 1.055*pow(u,1/2.4::DOUBLE)-0.055 END,6) AS srgb, round(0.2126*abs(dc_r)+0.7152*abs(dc_g)+0.0722*abs(dc_b)+1e-9,6) AS luma FROM (SELECT *, abs(dc_r) c, least(1.0,abs(dc_r)) u FROM v)")
+@query(_S + "SELECT id, round(greatest(0.0,least(1.0,c*(2.51*c+0.03)/(c*(2.43*c+0.59)+0.14))),6) AS aces, round(CASE WHEN u <= 0.0031308 THEN 12.92*u ELSE 1.055*pow(u,1/2.4::DOUBLE)-0.055 END,6) AS srgb, round(0.2126*abs(dc_r)+0.7152*abs(dc_g)+0.0722*abs(dc_b),9) AS luma FROM (SELECT *, abs(dc_r) c, least(1.0,abs(dc_r)) u FROM v)")
 def tone_map(spark: SparkSession, d: str) -> DataFrame:
     c = F.abs("dc_r")
-    return valid_splats(spark, d).select("id", _r(S.aces(c)).alias("aces"), _r(S.to_srgb(c)).alias("srgb"), _r(S.luma([F.abs(f"dc_{n}") for n in "rgb"]) + 1e-9).alias("luma"))
+    return valid_splats(spark, d).select("id", _r(S.aces(c)).alias("aces"), _r(S.to_srgb(c)).alias("srgb"), _r(S.luma([F.abs(f"dc_{n}") for n in "rgb"]), 9).alias("luma"))
 
 
 @query(_S + ", r AS (SELECT *, sqrt(x*x+y*y+z*z) r FROM s), k AS (SELECT *, CASE WHEN r > 1 THEN (2-1/r)/r ELSE 1.0 END k FROM r) SELECT id, round(x*k,6) AS cx, round(y*k,6) AS cy, round(z*k,6) AS cz, 0.0::DOUBLE AS back FROM k")

@@ -21,10 +21,10 @@ def vertices(src: DataFrame) -> DataFrame:
 def faces(src: DataFrame) -> DataFrame:
     """(file, face, corners ARRAY<INT>, material): n-gons; negative indices count back from the latest vertex."""
     w = W.partitionBy("file").orderBy("no")
-    is_mat = F.when(F.col("line").startswith("usemtl "), F.trim(F.substring("line", 8, 10_000)))
+    is_mat = F.when(F.col("line").startswith("usemtl "), F.trim(F.expr("substring(line, 8)")))
     t = src.withColumn("material", F.last(is_mat, ignorenulls=True).over(w)).withColumn("seen", F.count_if(F.col("line").startswith("v ")).over(w))
     f = t.where(F.col("line").startswith("f "))
-    corner = F.transform(F.filter(F.slice(F.split("line", r"\s+"), 2, 10_000), lambda c: c != ""), lambda c: F.split(c, "/")[0].try_cast("int"))
+    corner = F.transform(F.filter(F.slice(F.split("line", r"\s+"), F.lit(2), F.size(F.split("line", r"\s+"))), lambda c: c != ""), lambda c: F.split(c, "/")[0].try_cast("int"))
     f = f.withColumn("corners", F.transform(corner, lambda c: F.when(c < 0, F.col("seen").cast("int") + c + 1).otherwise(c)))
     return f.select("file", F.row_number().over(w).alias("face"), "corners", "material")
 
@@ -37,17 +37,20 @@ def triangles(f: DataFrame) -> DataFrame:
 
 
 def materials(src: DataFrame) -> DataFrame:
-    """(file, material, kd, ks, roughness, metallic, alpha): grey values or null where a file names none."""
+    """(file, material, kd, ks, roughness, metallic, alpha, kd_rgb, ks_rgb, ke_rgb, illum): kd and ks are grey means; null where a file names none."""
     w = W.partitionBy("file").orderBy("no")
-    name = F.when(F.col("line").startswith("newmtl "), F.trim(F.substring("line", 8, 10_000)))
+    name = F.when(F.col("line").startswith("newmtl "), F.trim(F.expr("substring(line, 8)")))
     t = src.withColumn("material", F.last(name, ignorenulls=True).over(w)).where(F.col("material").isNotNull())
     p = F.split("line", r"\s+")
 
     def grey(key: str) -> Column:
-        return F.max(F.when(p[0] == key, (p[1].try_cast("double") + F.coalesce(p[2], p[1]).try_cast("double") + F.coalesce(p[3], p[1]).try_cast("double")) / 3))
+        return F.max(F.when(p[0] == key, (p[1].try_cast("double") + F.coalesce(F.get(p, F.lit(2)), p[1]).try_cast("double") + F.coalesce(F.get(p, F.lit(3)), p[1]).try_cast("double")) / 3))
 
-    one = lambda key: F.max(F.when(p[0] == key, p[1].try_cast("double")))
-    return t.groupBy("file", "material").agg(grey("Kd").alias("kd"), grey("Ks").alias("ks"), F.coalesce(one("Pr"), F.sqrt(2 / (one("Ns") + 2))).alias("roughness"), F.coalesce(one("Pm"), F.lit(0.0)).alias("metallic"), F.coalesce(one("d"), 1 - one("Tr"), F.lit(1.0)).alias("alpha"))
+    def rgb(key: str) -> Column:
+        return F.max(F.when(p[0] == key, F.array(p[1].try_cast("double"), F.coalesce(F.get(p, F.lit(2)), p[1]).try_cast("double"), F.coalesce(F.get(p, F.lit(3)), p[1]).try_cast("double")))).alias(f"{key.lower()}_rgb")
+
+    one = lambda key: F.max(F.when(p[0] == key, F.get(p, F.lit(1)).try_cast("double")))
+    return t.groupBy("file", "material").agg(grey("Kd").alias("kd"), grey("Ks").alias("ks"), F.coalesce(one("Pr"), F.sqrt(2 / (one("Ns") + 2))).alias("roughness"), F.coalesce(one("Pm"), F.lit(0.0)).alias("metallic"), F.coalesce(one("d"), 1 - one("Tr"), F.lit(1.0)).alias("alpha"), rgb("Kd"), rgb("Ks"), rgb("Ke"), one("illum").cast("int").alias("illum"))
 
 
 def register(spark: SparkSession) -> None:
