@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cloudloom.plans.sizing import bucket_count
+from cloudloom.plans.sizing import bucket_count, shuffle_partitions
 
 ONLY_LEFT, ONLY_RIGHT, DIFFERS = "only_left", "only_right", "differs"
 
@@ -167,6 +167,7 @@ def compare_copies(
     missing. Columns that are not named are not read, so clashing extras are harmless.
     """
     n = buckets or bucket_count(left, right)
+    parts = min(n, max(shuffle_partitions(left), n // 4))
 
     def side(df: DataFrame, right_side: bool) -> DataFrame:
         read = [(f.right if right_side else f.left) if (f.right if right_side else f.left) is not None else F.col(f.name) for f in fields]
@@ -180,7 +181,8 @@ def compare_copies(
             "*",
             F.xxhash64(*[f"__f{i}" for i in range(len(fields))]).alias("__tie"),
         )
-        return d.mapInArrow(_combine(len(keys)), d.schema).groupBy("__bucket")
+        # as many partitions as the buckets need: left to itself, the planner puts them together again
+        return d.mapInArrow(_combine(len(keys)), d.schema).repartition(parts, "__bucket").groupBy("__bucket")
 
     types = [left.schema[k].dataType for k in keys]
     schema = T.StructType([T.StructField(f"__k{i}", t) for i, t in enumerate(types)] + [T.StructField("field", T.StringType()), T.StructField("kind", T.StringType())])

@@ -59,7 +59,7 @@ def germ_fit(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return solve(normal_equations(d, by, germ_basis(F.col("x"), F.col("y")), F.col("z")), by, 5)
 
 
-@F.pandas_udf("struct<values:array<double>,axes:array<double>>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("values", "axes")]))
 def _eigen(m: pd.DataFrame) -> pd.DataFrame:
     a = np.nan_to_num(m.to_numpy(float))[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
     w, v = np.linalg.eigh(a)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from cloudloom.functions.geometry import quaternion, ray_box, unit
 from cloudloom.plans.durable import cut
@@ -129,7 +129,7 @@ def differences(grid: DataFrame, res: int, cell: float) -> DataFrame:
     return d.select("i", "j", "k", "v", *[c.alias(n) for n, c in out.items()])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _aligned(g: pd.DataFrame, h: pd.DataFrame) -> pd.Series:
     """Rotation matrix, row by row, with columns normal, tangent, tangent: the eigenvector nearest the gradient, towards it, first."""
     m = h.to_numpy(float)[:, [0, 3, 4, 3, 1, 5, 4, 5, 2]].reshape(-1, 3, 3)

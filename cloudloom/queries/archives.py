@@ -101,7 +101,7 @@ def side_tables(spark: SparkSession, d: str) -> DataFrame:
                     zero = np.zeros(len(tier), np.uint8)
                     container.append_trailer(p, 31, {"material_u8x4": container.encode_side("material_u8x4", {"hint": tier, "confidence": zero, "view_dep": zero, "mip": zero})})
                     container.restamp(p, "mip", tier * 2 + 1)
-                yield pa.RecordBatch.from_pydict({"no": [no]})
+                yield pa.RecordBatch.from_arrays([pa.array([no], pa.int32())], names=["no"])
 
     spark.range(0, 4, 1, 4).select(F.col("id").cast("int").alias("no")).mapInArrow(stamp, "no int").collect()  # four files
     back = spark.read.format("splatpack").schema("file string, id bigint, tier int, hint int, mip int").load(at)

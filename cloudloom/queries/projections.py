@@ -327,10 +327,10 @@ def ggx_specular(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", _r(spec, 4).alias("spec"))
 
 
-@query(_S + "SELECT id, round(greatest(0.0,least(1.0,c*(2.51*c+0.03)/(c*(2.43*c+0.59)+0.14))),6) AS aces, round(CASE WHEN u <= 0.0031308 THEN 12.92*u ELSE 1.055*pow(u,1/2.4::DOUBLE)-0.055 END,6) AS srgb, round(0.2126*abs(dc_r)+0.7152*abs(dc_g)+0.0722*abs(dc_b),9) AS luma FROM (SELECT *, abs(dc_r) c, least(1.0,abs(dc_r)) u FROM v)")
+@query(_S + "SELECT id, round(greatest(0.0,least(1.0,c*(2.51*c+0.03)/(c*(2.43*c+0.59)+0.14))),6) AS aces, round(CASE WHEN u <= 0.0031308 THEN 12.92*u ELSE 1.055*pow(u,1/2.4::DOUBLE)-0.055 END,6) AS srgb, round(0.2126*abs(dc_r)+0.7152*abs(dc_g)+0.0722*abs(dc_b),12) AS luma FROM (SELECT *, abs(dc_r) c, least(1.0,abs(dc_r)) u FROM v)")
 def tone_map(spark: SparkSession, d: str) -> DataFrame:
     c = F.abs("dc_r")
-    return valid_splats(spark, d).select("id", _r(S.aces(c)).alias("aces"), _r(S.to_srgb(c)).alias("srgb"), _r(S.luma([F.abs(f"dc_{n}") for n in "rgb"]), 9).alias("luma"))
+    return valid_splats(spark, d).select("id", _r(S.aces(c)).alias("aces"), _r(S.to_srgb(c)).alias("srgb"), _r(S.luma([F.abs(f"dc_{n}") for n in "rgb"]), 12).alias("luma"))
 
 
 @query(_S + ", r AS (SELECT *, sqrt(x*x+y*y+z*z) r FROM s), k AS (SELECT *, CASE WHEN r > 1 THEN (2-1/r)/r ELSE 1.0 END k FROM r) SELECT id, round(x*k,6) AS cx, round(y*k,6) AS cy, round(z*k,6) AS cz, 0.0::DOUBLE AS back FROM k")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cloudloom.functions import quant as Q, shading as S
-from cloudloom.operators import grids, patches, raster
+from cloudloom.operators import grids, patches, ranks, raster
 from cloudloom.plans.adapters import POINTS_SQL, SPLATS_SQL, points, valid_splats, whole_splats
 from cloudloom.plans.session import table
 from cloudloom.queries.projections import _MORTON, PROJECTED_SQL, VIEW, _cols, _r, projected, query, with_morton
@@ -148,9 +148,10 @@ def residual_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_S + ", a AS (SELECT id, tier, row_number() OVER (PARTITION BY scene_id, tier ORDER BY id) - 1 AS rk, scene_id FROM s), b AS (SELECT splat_id, scene_id, tier, row_number() OVER (PARTITION BY scene_id, tier ORDER BY splat_id) - 1 AS rk FROM (SELECT DISTINCT splat_id, scene_id, tier::INT tier FROM residual_state WHERE tier IS NOT NULL)) SELECT a.id, b.splat_id AS paired, a.rk FROM a JOIN b USING (scene_id, tier, rk)")
 def residual_rank_join(spark: SparkSession, d: str) -> DataFrame:
-    a = whole_splats(spark, d).withColumn("rk", F.row_number().over(W.partitionBy("scene_id", "tier").orderBy("id")) - 1)
+    key = ["scene_id", "tier"]
+    a = ranks.rank_in(whole_splats(spark, d).select(*key, "id"), key, [F.col("id")], "rk", -1)
     r = table(spark, d, "residual_state").where("tier IS NOT NULL").select("splat_id", "scene_id", F.col("tier").cast("int").alias("tier")).distinct()
-    b = r.withColumn("rk", F.row_number().over(W.partitionBy("scene_id", "tier").orderBy("splat_id")) - 1)
+    b = ranks.rank_in(r, key, [F.col("splat_id")], "rk", -1)
     return a.join(b, ["scene_id", "tier", "rk"]).select("id", F.col("splat_id").alias("paired"), F.col("rk").cast("bigint").alias("rk"))
 
 
@@ -168,9 +169,9 @@ _CENTRES = ", k AS (SELECT scene_id, tier AS centre, avg(x) cx, avg(y) cy, avg(z
 def nearest_centre(spark: SparkSession, d: str) -> DataFrame:
     s = whole_splats(spark, d).select("id", "scene_id", "tier", "x", "y", "z")
     k = s.groupBy("scene_id", F.col("tier").alias("centre")).agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])
-    dx, dy, dz = (F.col(c) - F.col(f"c{c}") for c in "xyz")
-    j = s.join(k, "scene_id").select("id", "centre", (dx * dx + dy * dy + dz * dz).alias("d2"))
-    return j.groupBy("id").agg(F.min_by("centre", F.struct("d2", "centre")).alias("centre"))
+    centres = k.groupBy("scene_id").agg(F.collect_list(F.struct("centre", "cx", "cy", "cz")).alias("k"))  # three tiers at most
+    best = F.array_min(F.transform("k", lambda c: F.struct(((F.col("x") - c["cx"]) * (F.col("x") - c["cx"]) + (F.col("y") - c["cy"]) * (F.col("y") - c["cy"]) + (F.col("z") - c["cz"]) * (F.col("z") - c["cz"])).alias("d2"), c["centre"].alias("centre"))))
+    return s.join(centres, "scene_id").select("id", best["centre"].alias("centre"))
 
 
 # --- raster
@@ -202,8 +203,12 @@ def tile_bins(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PROJECTED_SQL + "SELECT id, scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY depth, id)::INT AS front, row_number() OVER (PARTITION BY scene_id ORDER BY depth DESC, id)::INT AS back FROM f")
 def depth_rank(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("scene_id")
-    return projected(spark, d).select("id", "scene_id", F.row_number().over(w.orderBy("depth", "id")).alias("front"), F.row_number().over(w.orderBy(F.desc("depth"), "id")).alias("back"))
+    p = ranks.rank_in(projected(spark, d).select("id", "scene_id", "depth"), ["scene_id"], [F.col("depth"), F.col("id")], "front")
+    n = p.groupBy("scene_id").agg(F.count("*").alias("n"))
+    # from the back: equal depths keep the order of ids, so their places within the run are turned
+    runs = p.groupBy("scene_id", "depth").agg(F.min("front").alias("first"), F.max("front").alias("last"))
+    j = p.join(n, "scene_id").join(runs, ["scene_id", "depth"])
+    return j.select("id", "scene_id", F.col("front").cast("int").alias("front"), (F.col("n") - F.col("last") + 1 + F.col("front") - F.col("first")).cast("int").alias("back"))
 
 
 @query(_FRAG + ", im AS (SELECT y, x, sum(t*a*r) r, sum(t*a*g) g, sum(t*a*b) b FROM tr WHERE t >= 1e-4 GROUP BY ALL), er AS (SELECT avg((power(r-floor(r*255)/255,2)+power(g-floor(g*255)/255,2)+power(b-floor(b*255)/255,2))/3) mse, avg((abs(r-floor(r*255)/255)+abs(g-floor(g*255)/255)+abs(b-floor(b*255)/255))/3) mae, count(*) pixels FROM im WHERE 0.2126*r+0.7152*g+0.0722*b > 0.02) SELECT round(mse,9) AS mse, round(mae,7) AS mae, round(-10*log10(mse),2) AS psnr, pixels FROM er")
@@ -219,8 +224,9 @@ def masked_image_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_P + _MORTON + ", o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag f, morton, morton - lag(morton) OVER (PARTITION BY l_returnflag ORDER BY morton, l_orderkey, l_linenumber, l_partkey, l_suppkey) dl FROM m) SELECT f, count(*) AS n, sum(coalesce(dl, morton))::BIGINT AS back, max(coalesce(dl,0)) AS widest FROM o GROUP BY f")
 def morton_delta(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("l_returnflag").orderBy("morton", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    o = with_morton(points(spark, d)).withColumn("dl", F.col("morton") - F.lag("morton").over(w))
+    order = [F.col(c) for c in ("morton", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    m = with_morton(points(spark, d)).select("l_returnflag", "morton", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    o = ranks.difference_in(m, ["l_returnflag"], order, "morton", "dl")
     return o.groupBy(F.col("l_returnflag").alias("f")).agg(F.count("*").alias("n"), F.sum(F.coalesce("dl", "morton")).alias("back"), F.max(F.coalesce("dl", F.lit(0))).alias("widest"))
 
 

@@ -99,7 +99,7 @@ def _split(parts: list[slice]) -> tuple[Encoder, Decoder]:
         out, at = np.empty((n, 45), kind), 0
         for p in parts:
             size = n * (p.stop - p.start) * kind.itemsize
-            out[:, p] = np.frombuffer(raw[at : at + size], kind).reshape(n, -1)
+            out[:, p] = np.frombuffer(raw[at : at + size], kind).reshape(n, p.stop - p.start)
             at += size
         return out
 
