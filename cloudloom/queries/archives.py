@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cloudloom.functions import quant as Q
 from cloudloom.operators import surfaces
@@ -15,7 +15,8 @@ from cloudloom.plans.durable import checkpoint_dir
 from cloudloom.plans.session import table
 from cloudloom.plans.sizing import bucket_count
 from cloudloom.queries.projections import _r, query
-from cloudloom.sources import container, layouts, mesh
+from cloudloom.queries.relational import _LAST, _PATCH, patch_rows
+from cloudloom.sources import container, layouts, mesh, timeline
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -184,3 +185,18 @@ def mesh_samples(spark: SparkSession, d: str) -> DataFrame:
     n = surfaces.sample_triangles(t, 400).groupBy("file", "face", "t").agg(F.count("*").alias("n"))
     look = mesh.materials(mtl).select("file", "material", _r(F.col("kd"), 6).alias("kd"), "metallic")
     return n.join(t.select("file", "face", "t", "material"), ["file", "face", "t"]).join(look, ["file", "material"]).select("face", "t", "n", "kd", "metallic")
+
+
+@query(_PATCH + _LAST.format(w=""))
+def timeline_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The feed's opacities and tiers written as a timeline for each scene, read again and composed."""
+    p = patch_rows(spark, d)
+    last = p.groupBy("scene_id", "time_offset_ms", "frame_no", "phoxoid_id", "attr").agg(F.max_by("val", "rec_no").alias("val"))
+    frames = last.select("scene_id", "time_offset_ms", "frame_no").distinct()
+    frames = frames.withColumn("frame", F.row_number().over(W.partitionBy("scene_id").orderBy("time_offset_ms", "frame_no")))  # a row a frame
+    rows = last.join(frames, ["scene_id", "time_offset_ms", "frame_no"]).select(F.col("scene_id").cast("string").alias("file"), "frame", F.col("time_offset_ms").alias("t_ms"), F.col("phoxoid_id").alias("id"), "attr", F.array("val").alias("val"))
+    at = _folder(spark)
+    timeline.write_timelines(rows, at, b"DELTA\0\0\0", b"TIMELINE", 7, 50).agg(F.sum("bytes")).collect()  # writes
+    back = timeline.read_timelines(spark, at)
+    scene = F.regexp_extract("file", r"([0-9]+)\.seq$", 1).cast("int")
+    return back.groupBy(scene.alias("scene_id"), F.col("id").alias("phoxoid_id"), "attr").agg(F.max_by(F.col("val")[0], "frame").alias("val"))

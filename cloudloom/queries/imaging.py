@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cloudloom.functions import quant as Q
 from cloudloom.functions.geometry import disparity_schedule
-from cloudloom.operators import matches, raster, volume
+from cloudloom.operators import density, matches, raster, volume
 from cloudloom.plans.adapters import POINTS_SQL, points, whole_splats
 from cloudloom.plans.session import table
 from cloudloom.queries.fields import _SEEN, seen
@@ -284,6 +284,21 @@ def blob_residuals(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("id").agg(F.count("*").alias("seen"), _r(F.sum("e"), 4).alias("correction"), _r(F.sum(F.abs("e")), 4).alias("size"))
 
 
+@query(_SEEN.replace("WITH ", f"WITH {_PIC}, ", 1) + """, r AS (SELECT id, v-greatest(0.0,least(1.0,dc_r)) e FROM sn JOIN pic ON pic.y = trunc(py)::INT AND pic.x = trunc(px)::INT WHERE px >= 0 AND px < 64 AND py >= 0 AND py < 48),
+st AS (SELECT id, 2*sum(abs(e))/2000 sg, 2*count(*) n FROM r GROUP BY id),
+m AS (SELECT s.id, least(1/(1+exp(-opacity)),0.01) al, exp(greatest(sx,sy,sz)) sz0, coalesce(sg/n > 0.00005, false) up FROM s LEFT JOIN st USING (id) WHERE 1/(1+exp(-opacity)) > 0.005 AND exp(greatest(sx,sy,sz)) < 0.3),
+w AS (SELECT *, CASE WHEN up AND sz0 > 0.01 THEN ['split','split'] WHEN up THEN ['kept','clone'] ELSE ['kept'] END k FROM m)
+SELECT id, k[p+1] AS kind, p::INT AS part, round(al,6) AS alpha, round(CASE WHEN k[p+1] = 'split' THEN sz0/1.6 ELSE sz0 END,6) AS size FROM w, range(2) t(p) WHERE p < len(k)""")
+def density_step(spark: SparkSession, d: str) -> DataFrame:
+    """Density control at step 6000 after two rounds of accumulated residuals."""
+    v = seen(spark, d).where("px >= 0 AND px < 64 AND py >= 0 AND py < 48").select("id", "dc_r", F.col("py").cast("int").alias("y"), F.col("px").cast("int").alias("x"))
+    e = v.join(picture(spark), ["y", "x"]).withColumn("e", F.abs(F.col("v") - Q.clip(F.col("dc_r"), 0.0, 1.0)))
+    signal = e.groupBy("id").agg((F.sum("e") / 2000).alias("signal"), F.count("*").alias("seen"))
+    state = density.accumulated(density.accumulated(None, signal), signal)
+    s = whole_splats(spark, d).select("id", Q.sigmoid(F.col("opacity")).alias("alpha"), F.exp(F.greatest("sx", "sy", "sz")).alias("size"))
+    return density.controlled(s, state, 6000, 3.0).select("id", "kind", "part", _r(F.col("alpha")).alias("alpha"), _r(F.col("size")).alias("size"))
+
+
 # --- matches
 
 _DESC = "f AS (SELECT label cam, vec_id kpt, list_sum(list_transform(range(62), lambda i: CASE WHEN embedding[i+1] > 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT bits FROM embeddings)"

@@ -34,8 +34,9 @@ CHUNKS = {
     "scale_f16": ["sx", "sy", "sz"],
     "quat_i16_norm4": ["qw", "qx", "qy", "qz"],
     "sh_rest_q8_global": ["sh_q8"],
-    "sh_rest_f32": ["sh_rest"],
 }
+#: The other dialect's coefficients.
+PLAIN = {"sh_rest_f32": ["sh_rest"]}
 #: Side tables (fixed names and numbers of the format): trailer, chunk number, numbers a row, type, and the columns each gives.
 SIDES = {
     "normals_oct24_tangent8": (31, 0x12, 4, "u1", ["nx", "ny", "nz", "tangent"]),
@@ -322,7 +323,7 @@ class _Reader(DataSourceReader):
         start, end = part.start, part.end
         got: dict[str, np.ndarray] = {}
         for e in manifest["chunks"]:
-            if e["name"] in _WIDTH and (want & set(CHUNKS[e["name"]]) or (e["name"] == "sh_rest_q8_global" and "sh_rest" in want)):
+            if e["name"] in _WIDTH and (want & set((CHUNKS | PLAIN)[e["name"]]) or (e["name"] == "sh_rest_q8_global" and "sh_rest" in want)):
                 got |= decode_chunk(e["name"], read_rows(part.path, e, payload, _WIDTH[e["name"]], start, end, check), e)
         if want & {"sh_q8", "sh_rest"} and "sh_q8" not in got and (q := archived_q8(part.path, magic, manifest, payload, start, end, check)) is not None:
             got["sh_q8"] = q.astype(np.int32)

@@ -89,6 +89,33 @@ def read_timelines(spark: SparkSession, path: str, k: int = 4) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, frame int, t_ms int, id bigint, attr string, val array<double>")
 
 
+def write_timelines(patches: DataFrame, path: str, delta_magic: bytes, magic: bytes, base_crc: int, base_n: int) -> DataFrame:
+    """Writes a timeline of each ``file`` to a shared folder; (file, frames, bytes). An action on the result writes.
+
+    ``patches``: (file, frame, t_ms, id, attr, val ARRAY<DOUBLE>), of one frame one value of
+    an id and attribute. Frames come by their number and their times must not fall. A
+    timeline is one file, so it is made in one task. A repeated attempt leaves the same file.
+    """
+    schema = pa.schema([("file", pa.string()), ("frames", pa.int32()), ("bytes", pa.int64())])
+
+    def run(t: pa.Table) -> pa.Table:
+        import os
+
+        name = t.column("file")[0].as_py()
+        frames: dict[int, tuple[int, dict]] = {}
+        for f, ms, i, a, v in sorted(zip(*(t.column(c).to_pylist() for c in ("frame", "t_ms", "id", "attr", "val"))), key=lambda r: (r[0], r[2])):
+            frames.setdefault(f, (ms, {}))[1].setdefault(i, {})[a] = [int(x) for x in v] if a in ("tier", "normal", "neighbors") else v
+        data = encode_timeline(magic, base_crc, base_n, [(ms, encode_delta(delta_magic, base_crc, base_n, recs.items())) for _, (ms, recs) in sorted(frames.items())])
+        os.makedirs(path, exist_ok=True)
+        tmp = os.path.join(path, f".{name}.{os.getpid()}")
+        with open(tmp, "wb") as out:
+            out.write(data)
+        os.replace(tmp, os.path.join(path, f"{name}.seq"))
+        return pa.Table.from_arrays([pa.array([name]), pa.array([len(frames)], pa.int32()), pa.array([len(data)])], schema=schema)
+
+    return patches.groupBy("file").applyInArrow(run, "file string, frames int, bytes bigint")
+
+
 def side_chunk(payload: np.ndarray, aux: int = 0, version: int = 1) -> bytes:
     """A side table's chunk: version, aux, rows, payload, CRC."""
     body = struct.pack("<BBI", version, aux, len(payload)) + payload.tobytes()
