@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cloudloom.plans.sizing import bucket_count, shuffle_partitions
+from cloudloom.plans.sizing import MB, bucket_count, shuffle_partitions
 
 ONLY_LEFT, ONLY_RIGHT, DIFFERS = "only_left", "only_right", "differs"
 
@@ -166,8 +166,8 @@ def compare_copies(
     a key value like any other. Empty tables: every record of the other side is
     missing. Columns that are not named are not read, so clashing extras are harmless.
     """
-    n = buckets or bucket_count(left, right)
-    parts = min(n, max(shuffle_partitions(left), n // 4))
+    n = buckets or bucket_count(left, right, target=8 * MB)
+    parts = min(n, max(shuffle_partitions(left), min(n, 100_000)))  # beyond, a partition has more buckets; a task holds one at a time
 
     def side(df: DataFrame, right_side: bool) -> DataFrame:
         read = [(f.right if right_side else f.left) if (f.right if right_side else f.left) is not None else F.col(f.name) for f in fields]

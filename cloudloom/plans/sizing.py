@@ -11,10 +11,7 @@ MB = 1 << 20
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate (file sizes carried through the plan); no job runs."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no JVM behind the frame: the caller falls back on partitions
-        return 0
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # a number or its Java object, by version
 
 
 def shuffle_partitions(df: DataFrame) -> int:
