@@ -93,15 +93,13 @@ def camera_views(spark: SparkSession, d: str) -> DataFrame:
 # --- fits
 
 
-@query(_S + ", g AS (SELECT scene_id, tier, count(*) n, avg(x) mx, avg(y) my, avg(z) mz, covar_samp(x,x) a, covar_samp(x,y) b, covar_samp(x,z) c, covar_samp(y,y) d, covar_samp(y,z) e, covar_samp(z,z) f FROM s GROUP BY ALL HAVING count(*) >= 3), "
-       "h AS (SELECT *, (a+d+f)/3 q FROM g), k AS (SELECT *, sqrt(((a-q)*(a-q)+(d-q)*(d-q)+(f-q)*(f-q)+2*(b*b+c*c+e*e))/6) p FROM h), "
-       "l AS (SELECT *, greatest(-1.0,least(1.0,((a-q)*((d-q)*(f-q)-e*e)-b*(b*(f-q)-e*c)+c*(b*e-(d-q)*c))/(2*p*p*p))) r FROM k), m AS (SELECT *, q+2*p*cos(acos(r)/3) e0, q+2*p*cos(acos(r)/3+2.0943951023931953) e2 FROM l) "
-       "SELECT scene_id, tier, n, i::INT AS axis, round(sqrt(greatest([e0, 3*q-e0-e2, e2][i+1],1e-8)),4) AS sigma FROM m, range(3) t(i)")
-def pca_sigmas(spark: SparkSession, d: str) -> DataFrame:
-    """Spread along the principal axes; the twin solves the cubic."""
-    m = fits.moments(whole_splats(spark, d), ["scene_id", "tier"]).where("n >= 3")
-    e = fits.eigenvalues("c_xx", "c_xy", "c_xz", "c_yy", "c_yz", "c_zz")
-    return m.select("scene_id", "tier", "n", F.posexplode(F.transform(e, lambda v: F.round(F.sqrt(F.greatest(v, F.lit(1e-8))), 4))).alias("axis", "sigma"))
+#: Spread along the principal axes of each group, by the roots of the cubic.
+PCA_SQL = (
+    _S + ", g AS (SELECT scene_id, tier, count(*) n, avg(x) mx, avg(y) my, avg(z) mz, covar_samp(x,x) a, covar_samp(x,y) b, covar_samp(x,z) c, covar_samp(y,y) d, covar_samp(y,z) e, covar_samp(z,z) f FROM s GROUP BY ALL HAVING count(*) >= 3), "
+    "h AS (SELECT *, (a+d+f)/3 q FROM g), k AS (SELECT *, sqrt(((a-q)*(a-q)+(d-q)*(d-q)+(f-q)*(f-q)+2*(b*b+c*c+e*e))/6) p FROM h), "
+    "l AS (SELECT *, greatest(-1.0,least(1.0,((a-q)*((d-q)*(f-q)-e*e)-b*(b*(f-q)-e*c)+c*(b*e-(d-q)*c))/(2*p*p*p))) r FROM k), m AS (SELECT *, q+2*p*cos(acos(r)/3) e0, q+2*p*cos(acos(r)/3+2.0943951023931953) e2 FROM l) "
+    "SELECT scene_id, tier, n, i::INT AS axis, round(sqrt(greatest([e0, 3*q-e0-e2, e2][i+1],1e-8)),4) AS sigma FROM m, range(3) t(i)"
+)
 
 
 @query("SELECT scene_id, tier, true AS orthonormal, true AS eigen FROM (" + _S + " SELECT scene_id, tier FROM s GROUP BY ALL HAVING count(*) >= 3)")

@@ -14,6 +14,7 @@ from cloudloom.plans.adapters import SPLATS_SQL, whole_splats
 from cloudloom.plans.durable import checkpoint_dir
 from cloudloom.plans.session import table
 from cloudloom.queries import training
+from cloudloom.queries.fields import PCA_SQL
 from cloudloom.sources import container, mesh
 from cloudloom.streaming import changes
 
@@ -28,7 +29,7 @@ def group_moments(spark: SparkSession, d: str) -> DataFrame:
 def pca_spread(spark: SparkSession, d: str) -> DataFrame:
     m = fits.moments(whole_splats(spark, d), ["scene_id", "tier"]).where("n >= 3")
     e = fits.eigenvalues("c_xx", "c_xy", "c_xz", "c_yy", "c_yz", "c_zz")
-    return m.select("scene_id", "tier", "n", F.posexplode(F.transform(e, lambda v: F.round(F.sqrt(F.greatest(v, F.lit(1e-8))), 5))).alias("axis", "sigma"))
+    return m.select("scene_id", "tier", "n", F.posexplode(F.transform(e, lambda v: F.round(F.sqrt(F.greatest(v, F.lit(1e-8))), 4))).alias("axis", "sigma"))
 
 
 def germ_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +90,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (group_moments, pca_spread, germ_fit, container_round_trip, mesh_triangles, stream_changes, event_windows, event_sessions)}
 ORACLE = {
+    "pca_spread": PCA_SQL,
     "group_moments": _S + "SELECT scene_id, tier, count(*) AS n, " + ", ".join(f"round(avg({c}),6) AS mean_{c}" for c in "xyz") + ", " + ", ".join(f"round(coalesce(covar_samp({a},{b}),0.0),4)+0.0 AS c_{a}{b}" for a, b in ("xx", "xy", "zz")) + " FROM s GROUP BY ALL",
     "mesh_triangles": "SELECT * FROM (VALUES (1,1,1,2,3,'red',0.5::DOUBLE),(1,2,1,3,4,'red',0.5),(2,1,1,2,5,'chrome',1.0)) t(face,t,a,b,c,material,area)",
     "stream_changes": training.ORACLE["p4_found"],
