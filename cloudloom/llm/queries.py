@@ -114,4 +114,9 @@ n AS (SELECT scene_id, q, id FROM p WHERE rn <= k)
 ORACLE = {"p2_found": _KNN + "SELECT DISTINCT least(q, id) AS splat_lo, greatest(q, id) AS splat_hi FROM n", "p2_nearest": _KNN + "SELECT scene_id, q AS splat_id, id AS neighbor_id FROM n", "p5_found": _Q8 + "SELECT min(b.splat_id) AS cluster_key, a.splat_id FROM f a JOIN f b ON array_distance(a.c, b.c) <= 32 GROUP BY a.splat_id HAVING count(DISTINCT b.splat_id) > 1", "p5_typical": _Q8 + """, k AS (SELECT min(b.splat_id) AS cluster_key, a.splat_id FROM f a JOIN f b ON array_distance(a.c, b.c) <= 32 GROUP BY a.splat_id HAVING count(DISTINCT b.splat_id) > 1),
 n AS (SELECT k.cluster_key, k.splat_id, round(sqrt(list_sum(list_transform(range(1,46), lambda i: (a.c[i]::DOUBLE-m.c[i]::DOUBLE)*(a.c[i]::DOUBLE-m.c[i]::DOUBLE)))),6) AS to_medoid FROM k JOIN f a ON a.splat_id = k.splat_id JOIN f m ON m.splat_id = k.cluster_key),
 r AS (SELECT *, count(*) OVER (PARTITION BY cluster_key) AS size, row_number() OVER (PARTITION BY cluster_key ORDER BY splat_id <> cluster_key, to_medoid, splat_id)::INT AS rank FROM n)
-SELECT cluster_key, size, rank, splat_id, to_medoid FROM r WHERE rank <= 3""", "p6_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN own USING (r)"}
+SELECT cluster_key, size, rank, splat_id, to_medoid FROM r WHERE rank <= 3""", "p6_leaks": _RUNS + """, ij AS (SELECT item_id, i j, array_to_string(list_slice(w, i, i+11), ' ') r FROM iw, unnest(range(1, len(w)-10)) t(i)),
+di AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i+11), ' ') r FROM dw, unnest(range(1, len(w)-10)) t(i)),
+m AS (SELECT di.doc_id, ij.item_id, i, i - j d, own.r IS NOT NULL o FROM di JOIN ij USING (r) LEFT JOIN own USING (r)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY i) g FROM m),
+s AS (SELECT doc_id, item_id, count(*) + 11 n, min(i) - 1 p FROM g GROUP BY doc_id, item_id, d, g HAVING bool_or(o))
+SELECT doc_id, item_id, max(n)::INT AS run_words, arg_min(p, (-n, p))::INT AS at_word FROM s GROUP BY doc_id, item_id""", "p6_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dr JOIN own USING (r)"}
